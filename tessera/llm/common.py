@@ -59,30 +59,33 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def ordered_offsets(df: DataFrame, order: list, group: list[str], value: str, out: str, tag: str) -> DataFrame:
+def ordered_offsets(df: DataFrame, order: list, group: list[str], value: str, out: str, tag: str, facts: DataFrame | None = None) -> DataFrame:
     """Add out: the sum of value over the rows of the same group that come earlier in the order.
 
     Rows are range-partitioned by (group, order), so a hot group spreads over many tasks; sums inside a
     partition and the (few) totals by partition and group are added up. The table is written once between
-    the two so that the partition of a row is a fact, not something recomputed. order must be total, but for
-    rows that are equal in every column.
+    the two so that the partition of a row is a fact, not something recomputed. The order must be total, but
+    for rows that are equal in every column. facts, one row per group, are joined to the totals and so reach
+    the rows by (partition, group), which no hot group can crowd.
     """
-    spark = df.sparkSession
     keys = [F.col(c).asc_nulls_last() for c in group] + order
-    placed = df.repartitionByRange(partitions(spark), *keys).withColumn("_pid", F.spark_partition_id())
-    placed = cut(placed, tag)
+    placed = cut(df.repartitionByRange(partitions(df.sparkSession), *keys).withColumn("_pid", F.spark_partition_id()), tag)
     inside = W.partitionBy("_pid", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*(group or [F.lit(0)])).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy("_pid", *group).agg(F.sum(value).alias("_total"))
-    before = W.partitionBy(*group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1) if group else W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    if facts is not None:
+        renamed = facts.select(*(F.col(c).alias(f"_f_{c}") if c in group else F.col(c) for c in facts.columns))
+        same = F.lit(True)
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+        totals = totals.join(renamed, same, "left").drop(*(f"_f_{c}" for c in group))
+    totals = totals.select(*(F.col(c).alias(f"_g_{c}") if c in group else F.col(c) for c in totals.columns)).withColumnRenamed("_pid", "_at")
+    here = F.col("_pid") == F.col("_at")
     for c in group:
-        totals = totals.withColumnRenamed(c, f"_g_{c}")
-    joined = placed.withColumn("_run", F.sum(value).over(inside) - F.col(value))
-    totals = totals.withColumnRenamed("_pid", "_pid2")
-    cond = F.col("_pid") == F.col("_pid2")
-    for c in group:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    return joined.join(totals, cond, "left").withColumn(out, F.col("_run") + F.col("_before")).drop("_pid", "_pid2", "_run", "_before", *[f"_g_{c}" for c in group])
+        here = here & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    ran = placed.withColumn(out, F.sum(value).over(inside) - F.col(value))
+    return ran.join(totals, here, "left").withColumn(out, F.col(out) + F.col("_before")).drop("_pid", "_at", "_before", *(f"_g_{c}" for c in group))
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

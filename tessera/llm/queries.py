@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import mixing, packing, sharding, warc
+from .common import new_path
 
 
 def _tokenizer() -> str:
@@ -23,8 +25,85 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer(), capacity=1024, end_id=2)
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
+
+
+OP1 = f"""
+with sized as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents
+), sources as (
+    select source, sum(size)::double as s, row_number() over (order by source nulls last) - 1 as rank from sized group by source
+), weights as (
+    select *, (rank % 3 + 1)::double as w, 3.0 * s as cap from sources
+), sorted as (
+    select *, row_number() over (order by cap / w, source nulls last) as k, sum(cap) over (order by cap / w, source nulls last) as caps, sum(w) over (order by cap / w, source nulls last) as ws,
+        sum(s) over () as total, sum(w) over () as all_w from weights
+), level as (
+    select arg_min(l, k) as l from (select (total - caps + cap) / (all_w - ws + w) as l, k, cap, w from sorted) where l <= cap / w
+), targets as (
+    select source, s, w, rank, case when l is null then cap else least(cap, l * w) end as target from sorted, level
+), places as (
+    select d.*, t.s::bigint as source_size, t.target, floor(t.target + 0.5)::bigint as take, t.w, t.rank,
+        coalesce(sum(size) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start
+    from sized d join targets t on d.source is not distinct from t.source
+), taken as (
+    select *, (select coalesce(sum(greatest(0, least(size, take - k * source_size - start))), 0) from (select unnest([0, 1, 2, 3]) as k))::bigint as taken from places
+)
+select doc_id, size, source_size, round(target, 6) as target, taken,
+    round(case when taken > 0 and start < take then
+        case when rank % 2 = 0
+            then 2 * (start / take::double * w) / (0.5 * w + sqrt(0.25 * w * w + 2 * w * (start / take::double * w)))
+            else 2 * (start / take::double * w) / (1.5 * w + sqrt(2.25 * w * w - 2 * w * (start / take::double * w))) end end, 9) as position
+from taken
+"""
+
+
+def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"), limit=SHARD_BYTES).drop("digest")
+
+
+OP5 = f"""
+with facts as (
+    select doc_id, octet_length(encode(coalesce(text, '')))::bigint as bytes, coalesce(md5(text), '') as digest,
+        row_number() over (partition by doc_id, text order by 1)::bigint as copy from documents
+), keyed as (
+    select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '#' || digest || '#' || copy::varchar), 1, 15))::bigint as k from facts
+), nodes as (
+    select d::int as d, (k >> (60 - d))::bigint as up, sum(bytes)::bigint as b, count(*)::bigint as n
+    from keyed, (select unnest(range(0, 61)) as d) group by 1, 2
+), fits as (
+    select * from nodes where b <= {SHARD_BYTES} or n = 1 or d = 60
+), least as (
+    select k, copy, min(f.d) as d from (select k, copy, unnest(range(0, 61)) as d from keyed) x join fits f on f.d = x.d and f.up = x.k >> (60 - x.d) group by k, copy
+)
+select doc_id, bytes, keyed.copy, f.d::int as shard_depth, f.up as shard_prefix, f.b as shard_bytes, f.n as shard_docs
+from keyed join least l on keyed.k = l.k and keyed.copy = l.copy join fits f on f.d = l.d and f.up = keyed.k >> (60 - l.d)
+"""
+
+
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_pages(_read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return warc.page_records(warc.reassemble(warc.read_archives(archives)))
+
+
+OP7 = """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+first as (select payload_digest, min(page_id) as m from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, p.payload_digest, case when m < page_id then 'revisit' else 'response' end as record_type, case when m < page_id then m end as refers_to
+from p left join first on p.payload_digest = first.payload_digest and payload_bytes >= 100
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op5_extendible_sharding": op5_extendible_sharding,
+    "op7_warc_segments": op7_warc_segments,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op5_extendible_sharding": OP5, "op7_warc_segments": OP7}
