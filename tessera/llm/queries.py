@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, warc
+from . import langid, mixing, packing, quality, sharding, warc
 from .common import new_path
 
 
@@ -63,6 +63,14 @@ from taken
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(_read(spark, sf_dir, "documents"))
+
+
+def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"))
+
+
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), limit=SHARD_BYTES).drop("digest")
 
@@ -101,6 +109,8 @@ from p left join first on p.payload_digest = first.payload_digest and payload_by
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_language_id": op3_language_id,
+    "op4_quality_divergence": op4_quality_divergence,
     "op5_extendible_sharding": op5_extendible_sharding,
     "op7_warc_segments": op7_warc_segments,
     "op10_best_fit_packing": op10_best_fit_packing,
