@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, sharding, warc
+from . import embeddings, langid, mixing, packing, quality, sharding, warc
 from .common import new_path
 
 
@@ -63,6 +63,28 @@ from taken
 """
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+OP2 = """
+with recursive x as (
+    select vec_id, embedding::double[] as v, label from embeddings where label is not null and embedding is not null and len(embedding) > 0
+        and list_bool_and(list_transform(embedding, lambda e: e is not null and isfinite(e))) and list_bool_or(list_transform(embedding, lambda e: e <> 0))
+), links as (
+    select a.vec_id as a, b.vec_id as b from x a join x b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_cosine_similarity(a.v, b.v) >= 0.98
+), reach as (
+    select vec_id as node, vec_id as low from embeddings
+    union
+    select links.b as node, reach.low from reach join links on links.a = reach.node and reach.low < links.b
+), lowest as (select node, min(low) as component_id from reach group by node),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join lowest on lowest.node = vec_id left join counts on counts.a = vec_id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(_read(spark, sf_dir, "documents"))
 
@@ -109,6 +131,7 @@ from p left join first on p.payload_digest = first.payload_digest and payload_by
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality_divergence": op4_quality_divergence,
     "op5_extendible_sharding": op5_extendible_sharding,
@@ -116,4 +139,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op5_extendible_sharding": OP5, "op7_warc_segments": OP7}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_embedding_near_dedup": OP2, "op5_extendible_sharding": OP5, "op7_warc_segments": OP7}
