@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, packing, quality, sharding, toxicity, warc
+from . import embeddings, langid, mixing, packing, quality, sharding, substrings, toxicity, warc
 from .common import new_path
 
 
@@ -120,6 +120,26 @@ from keyed join least l on keyed.k = l.k and keyed.copy = l.copy join fits f on
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_read(spark, sf_dir, "documents"))
+
+
+OP6 = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+starts as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w),
+windows as (select doc_id, i, list_slice(words, i, i + 12) as win from starts),
+firsts as (select win, min(doc_id) as m from windows group by win),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as at from windows join firsts using (win) where m < doc_id),
+flat as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as at from w),
+kept as (
+    select f.doc_id, string_agg(word, ' ' order by f.at) as kept, count(*) as n from flat f left join gone g on g.doc_id = f.doc_id and g.at = f.at
+    where g.at is null group by f.doc_id
+)
+select w.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
+
+
 def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_pages(_read(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return warc.page_records(warc.reassemble(warc.read_archives(archives)))
@@ -139,9 +159,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality_divergence": op4_quality_divergence,
     "op5_extendible_sharding": op5_extendible_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_warc_segments": op7_warc_segments,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_embedding_near_dedup": OP2, "op5_extendible_sharding": OP5, "op7_warc_segments": OP7}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_embedding_near_dedup": OP2, "op5_extendible_sharding": OP5, "op6_substring_dedup": OP6, "op7_warc_segments": OP7}
