@@ -75,7 +75,7 @@ def facts(docs: DataFrame) -> DataFrame:
     d = c.select(
         *("doc_id", "lang", "_len", "_classes", "n_words", "word_chars", "n_dup_lines"),
         F.sort_array(F.transform(twice, lambda x: x["p"])).alias("_p"),
-        F.transform("_ends", lambda e, i: F.struct(F.get("_cw", e - 1).alias("word"), (e - F.when(i > 0, F.get("_ends", i - 1)).otherwise(0)).alias("n"))).alias("common"),
+        F.transform("_ends", lambda e, i: F.struct(F.array_position(F.array(*map(F.lit, COMMON)), F.get("_cw", e - 1)).cast("int").alias("word"), (e - F.when(i > 0, F.get("_ends", i - 1)).otherwise(0)).alias("n"))).alias("common"),
     )
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate("_p", start, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n")), lambda s: s["n"])
@@ -86,7 +86,7 @@ def facts(docs: DataFrame) -> DataFrame:
 
 
 def references(found: DataFrame, min_docs: int) -> DataFrame:
-    """Mean histograms: one row per language, and one with null lang over all: lang, classes, words (word -> share)."""
+    """Mean histograms: one row per language, and one with null ref over all: ref, ref_classes, ref_words (by number of the word)."""
     sound = found.where(~F.col("base_failed"))
     langs = sound.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("lang").isNotNull() & (F.col("n") >= min_docs)).select(F.col("lang").alias("ref"))
     for_all = F.lit(None).cast("string")
@@ -96,7 +96,8 @@ def references(found: DataFrame, min_docs: int) -> DataFrame:
     means = rows.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.get("classes", F.lit(i))) for i in range(many))).alias("ref_classes"))
     words = rows.select("ref", "n_words", F.inline("common")).groupBy("ref", "word").agg(F.sum(F.col("n") / F.col("n_words")).alias("s"))
     words = words.groupBy("ref").agg(F.map_from_entries(F.collect_list(F.struct("word", "s"))).alias("_sums"))  # at most one entry per common word
-    out = means.join(words, means["ref"].eqNullSafe(words["ref"]), "left").select(means["ref"], "n", "ref_classes", F.coalesce(F.transform_values("_sums", lambda k, v: v / F.col("n")), F.create_map().cast("map<string,double>")).alias("ref_words"))
+    shares = F.transform(F.sequence(F.lit(1), F.lit(len(COMMON))), lambda i: F.coalesce(F.element_at("_sums", i) / F.col("n"), F.lit(0.0)))
+    out = means.join(words, means["ref"].eqNullSafe(words["ref"]), "left").select(means["ref"], "n", "ref_classes", shares.alias("ref_words"))
     known = out.join(langs, "ref", "left_semi")
     return known.select("ref", "ref_classes", "ref_words").unionByName(out.where("ref is null").select("ref", "ref_classes", "ref_words"))
 
@@ -115,10 +116,10 @@ def _distances(found: DataFrame, refs: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     classes = F.aggregate(F.zip_with("classes", "ref_classes", _half), zero, lambda s, x: s + x)
     share = lambda x: x["n"] / F.col("n_words")
-    ref = lambda x: F.coalesce(F.element_at("ref_words", x["word"]), zero)
+    ref = lambda x: F.get("ref_words", x["word"] - 1)
     both = both.withColumn("_bins", F.transform("common", lambda x: F.struct(share(x).alias("p"), ref(x).alias("q"))))
     inside = F.aggregate("_bins", F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")), lambda s, x: F.struct((s["d"] + _half(x["p"], x["q"])).alias("d"), (s["p"] + x["p"]).alias("p"), (s["q"] + x["q"]).alias("q")))
-    both = both.withColumn("_in", inside).withColumn("_all", F.aggregate(F.map_values("ref_words"), zero, lambda s, x: s + x))
+    both = both.withColumn("_in", inside).withColumn("_all", F.aggregate("ref_words", zero, lambda s, x: s + x))
     # bins that the document lacks give half their reference share; the rest of the words is the last bin
     rest = _half(F.greatest(zero, 1 - F.col("_in.p")), F.greatest(zero, 1 - F.col("_all")))
     words = F.col("_in.d") + F.greatest(zero, F.col("_all") - F.col("_in.q")) / 2 + rest
@@ -135,9 +136,10 @@ def judge(docs: DataFrame, max_classes: float = 0.158, max_words: float = 0.32,
     """
     found = cut(facts(docs), f"{tag}-facts")
     good = (F.col("class_distance") <= max_classes) & (F.col("word_distance") <= F.lit(max_words) + F.lit(word_slack) / F.sqrt("n_words"))
-    kept, sound = found, found
+    names, kept, sound = found.columns, found, found
     for k in range(passes):
         refs = cut(references(sound, min_docs), f"{tag}-references-{k}")
         kept = _distances(found, refs).withColumn("kept", F.coalesce(~F.col("base_failed") & good, F.lit(False)))
-        sound = kept.where("kept")
+        if k + 1 < passes:  # written, as the next references read it several times
+            sound = cut(kept.where("kept").select(*names), f"{tag}-sound-{k}")
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
