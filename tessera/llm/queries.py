@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, packing, quality, sharding, substrings, toxicity, warc
+from . import embeddings, langid, mixing, packing, quality, sharding, simhash, substrings, toxicity, warc
 from .common import new_path
 
 
@@ -21,6 +21,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(_read(spark, sf_dir, "documents"))
+
+
+OP8 = """
+with recursive w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from documents where text is not null),
+shingles as (
+    select distinct doc_id, unnest(case when len(words) < 5 then [words] else list_transform(range(1, len(words) - 3), lambda i: list_slice(words, i, i + 4)) end) as s
+    from w where len(words) > 0
+), sizes as (select doc_id, count(*) as n from shingles group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 5 * k >= 4 * (x.n + y.n - k)
+    union select x.doc_id, y.doc_id from documents x join documents y on x.text = y.text and x.doc_id <> y.doc_id
+), reach as (
+    select doc_id as node, doc_id as low from documents
+    union
+    select links.b, reach.low from reach join links on links.a = reach.node and reach.low < links.b
+)
+select node as doc_id, min(low) as class_id, node = min(low) as kept from reach group by node
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -161,8 +184,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_extendible_sharding": op5_extendible_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc_segments": op7_warc_segments,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_embedding_near_dedup": OP2, "op5_extendible_sharding": OP5, "op6_substring_dedup": OP6, "op7_warc_segments": OP7}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_embedding_near_dedup": OP2, "op5_extendible_sharding": OP5, "op6_substring_dedup": OP6, "op7_warc_segments": OP7, "op8_simhash_near_dedup": OP8}
