@@ -189,3 +189,21 @@ def predict_documents(docs: DataFrame) -> DataFrame:
     """Learn from the documents that aren't held out and predict all: doc_id, held_out, lang_pred, score, rejected."""
     model = fit(docs.where(~held_out()))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language the model finds; without a model all stay."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def each(batches):
+        m = shared.value
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            good = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            rejected = m.predict([texts[i] for i in good])[2] if good else []
+            yield b.take(pa.array([i for i, r in zip(good, rejected) if not r], pa.int64()))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -74,14 +74,14 @@ def _integral(points: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(points) - 2), start, add)
 
 
-def mix(docs: DataFrame, schedule: Callable[[Column], Column] = ramp, repeats: float = 3.0, budget: float | None = None, tag: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, schedule: Callable[[Column], Column] = ramp, repeats: float = 3.0, budget: float | None = None, carry: tuple[str, ...] = (), tag: str = "mix") -> DataFrame:
     """One row per document, range-sorted by its first position.
 
     Returns doc_id, source, size, source_size, target, taken, position (of the first copy; null if nothing is
     taken) and copies: array of (copy, words, position). schedule maps a source's rank to its points, at least
     two, (t, w) from t = 0 to t = 1; budget defaults to the sum of all sizes.
     """
-    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h")), f"{tag}-sizes")
+    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"), *carry), f"{tag}-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_one", F.lit(1).cast("long"))
     ranked = ordered_offsets(sources, [F.col("source").asc_nulls_last()], [], "_one", "_rank", f"{tag}-sources")
     ranked = ranked.withColumn("_curve", _integral(schedule(F.col("_rank")))).withColumn("weight", F.col("_curve.area"))
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, schedule: Callable[[Column], Column] = ramp, repeats: f
     copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), whole), copy), lambda c: c["words"] > 0)
     out = placed.withColumn("copies", F.when((F.col("size") > 0) & (F.col("_take") > 0), copies).otherwise(F.array().cast("array<struct<copy:int,words:bigint,position:double>>")))
     out = out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).withColumn("position", F.get("copies", F.lit(0))["position"])
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "copies")
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "copies", *carry)
     return out.repartitionByRange(partitions(docs.sparkSession), F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -111,3 +111,27 @@ def training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy that the mix takes, range-sorted by training position: doc_id, copy, words, position."""
     rows = mixed.select("doc_id", F.inline("copies"))
     return rows.repartitionByRange(partitions(mixed.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs in training order, each as often as the mix takes it, all columns kept.
+
+    A last copy that the mix takes in part has the first words of the text, joined by one space; n_chars, if
+    there, follows. Rows that repeat id, source and text give the copies of all of them, with one's columns.
+    """
+    digest = F.sha2("text", 256)
+    keyed = docs.withColumn("_digest", digest)
+    mixed = mix(keyed, carry=("_digest",), **settings).where("taken > 0")
+    flat = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_d"), "size", F.inline("copies"))
+    flat = cut(flat.select("_id", "_source", "_d", "size", "copy", "words", "position"), "mix-copies")
+    many = flat.where("copy = 0").groupBy("_id", "_source", "_d").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    if not many.isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "source", "_digest"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_digest") == F.col("_d"))
+    rows = keyed.join(flat, same)
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return rows.select(*docs.columns)

@@ -42,6 +42,11 @@ def _orders(tables: int) -> np.ndarray:
     return np.stack([rng.permutation(BITS)[:KEY] for _ in range(tables)])
 
 
+def text_digest():
+    """The digest of the column text, as describe() gives it."""
+    return F.substring(F.sha2("text", 256), 1, 32)
+
+
 def shingles(texts: list[bytes | None], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct runs of every text, sorted by both."""
     counts, (h,) = words(texts)
@@ -78,7 +83,7 @@ def signatures(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame, tables: int) -> DataFrame:
-    """doc_id, digest (16 bytes; null for a null text), size (distinct runs), sig (two longs) and keys (one 60-bit key per table)."""
+    """doc_id, digest (128 bits of SHA-256 in hex; null for a null text), size (distinct runs), sig (two longs) and keys (one 60-bit key per table)."""
     orders = _orders(tables)
     weights = np.int64(1) << np.arange(KEY - 1, -1, -1, dtype=np.int64)
 
@@ -90,14 +95,14 @@ def describe(docs: DataFrame, tables: int) -> DataFrame:
                 sizes, sig = signatures(part)
                 bits = np.unpackbits(sig.view(np.uint8), axis=1)
                 keys = np.stack([bits[:, o].astype(np.int64) @ weights for o in orders], axis=1)
-                digest = [None if t is None else hashlib.blake2b(t, digest_size=16).digest() for t in part]
+                digest = [None if t is None else hashlib.sha256(t).hexdigest()[:32] for t in part]
                 step = lambda k: pa.array(np.arange(len(part) + 1, dtype=np.int32) * k)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(step(2), pa.array(sig.ravel().view(np.int64))), pa.ListArray.from_arrays(step(tables), pa.array(keys.ravel()))],
+                    [b.column(0).slice(i, j - i), pa.array(digest, pa.string()), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(step(2), pa.array(sig.ravel().view(np.int64))), pa.ListArray.from_arrays(step(tables), pa.array(keys.ravel()))],
                     ["doc_id", "digest", "size", "sig", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, size bigint, sig array<bigint>, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, size bigint, sig array<bigint>, keys array<bigint>")
 
 
 def buckets(nodes: DataFrame, bucket: int, tag: str) -> DataFrame:
@@ -194,8 +199,8 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return rows.select("b", "a", "x", "y").mapInArrow(each, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int = 34, bucket: int = 512, nearest: int = 2, tag: str = "simhash") -> DataFrame:
-    """doc_id, class_id and kept of every row."""
+def members(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int = 34, bucket: int = 512, nearest: int = 2, tag: str = "simhash") -> DataFrame:
+    """row (a number), doc_id, digest and root (the number of a row of the class) of every row; written."""
     spark = docs.sparkSession
     rows = cut(describe(docs, tables).withColumn("row", F.monotonically_increasing_id()), f"{tag}-signatures")
     # equal texts: one node, its first row
@@ -220,23 +225,40 @@ def classes(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int
             roots = cut(components(links.unionByName(more), f"{tag}-components-2"), f"{tag}-roots-2")
     release(spark, second)
     member = rows.where("digest is not null").select("row", "doc_id", "digest").join(nodes.select("digest", "node"), "digest").join(roots, "node", "left")
-    every = member.select("row", "doc_id", F.coalesce("root", "node").alias("root")).unionByName(rows.where("digest is null").select("row", "doc_id", F.col("row").alias("root")))
-    every = cut(every, f"{tag}-members")
+    every = member.select("row", "doc_id", "digest", F.coalesce("root", "node").alias("root")).unionByName(rows.where("digest is null").select("row", "doc_id", "digest", F.col("row").alias("root")))
+    return cut(every, f"{tag}-members")
+
+
+def classes(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, class_id and kept of every row; settings as for members()."""
+    every = members(docs, **settings)
+    # only classes of several rows need their smallest id looked up
     least = every.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     out = every.join(least, "root", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
+def survivors(docs: DataFrame, **settings) -> DataFrame:
+    """docs with one row of each class, the one with the smallest doc_id (null last), and all its columns."""
+    every = members(docs, **settings)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "digest")).alias("w")
+    winners = every.groupBy("root").agg(first).select(F.col("w.doc_id").alias("_id"), F.col("w.digest").alias("_w"))
+    # rows that repeat an id and its text count as one
+    again = every.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    winners = winners.distinct().join(again.withColumnsRenamed({"doc_id": "_id2", "digest": "_w2"}), F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_w").eqNullSafe(F.col("_w2")), "left").drop("_id2", "_w2")
+    winners = cut(winners.withColumn("_again", F.col("_k").isNotNull() & F.col("_w").isNotNull()).drop("_k"), "simhash-winners")
+    kept = docs.withColumn("_d", text_digest()).join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_d").eqNullSafe(F.col("_w")))
+    out = kept.where("not _again")
+    if not winners.where("_again").isEmpty():
+        out = out.unionByName(kept.where("_again").dropDuplicates(["_id", "_w"]))
+    return out.drop("_d", "_id", "_w", "_again")
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
     """node, text of the nodes that the pairs name."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(named, "node").select("node", "id", "digest")
 
-    def right(batches):  # an id may stand for several texts: the digest tells
-        for b in batches:
-            ok = [hashlib.blake2b(t, digest_size=16).digest() == d for t, d in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["node", "text"]).filter(pa.array(ok, pa.bool_()))
-
-    both = docs.select("doc_id", "text").where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-    found = both.select("node", "text", "digest").mapInArrow(right, "node bigint, text string")
+    # an id may stand for several texts: the digest tells
+    found = docs.select("doc_id", "text", text_digest().alias("_d")).where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_d") == F.col("digest"))).select("node", "text")
     return cut(found.dropDuplicates(["node"]), tag)
