@@ -1,17 +1,52 @@
-"""A corpus pipeline of five of the llm operators; run() applies its stages to the documents table."""
+"""A corpus pipeline of five of the llm operators; run() applies its stages to the documents table.
+
+Each stage takes the rows that the one before it wrote. All but the last return the columns of documents:
+language ID drops what it rejects, SimHash near-dedup keeps one document of each class, substring dedup
+rewrites texts (and n_chars) without their repeated passages, mixing gives every document as often as its
+source's target asks, in training order, and packing returns the pieces with their places in sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from tessera.llm import langid, mixing, packing, simhash, substrings
+from tessera.llm.common import cut, held_out
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs, langid.fit(docs.where(~held_out())))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.survivors(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.rewrite(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+ORACLE_SQL = None  # clustering, SimHash candidates and best-fit supersteps aren't SQL; tests hold run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order, each one's rows written as Parquet and read again."""
-    from tessera.llm.common import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
