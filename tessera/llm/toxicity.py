@@ -151,7 +151,7 @@ class Reader:
 
     def restore(self, stretch: str) -> str:
         if stretch not in self.known:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             self.known[stretch] = viterbi(lattice(stretch), self.model)
         return self.known[stretch]
@@ -182,7 +182,7 @@ class Scorer:
         self.reader = self.reader or Reader(self.lm)
         found: set[str] = set()
         seen, weights = self.seen, self.weights
-        if len(seen) > 500_000:
+        if len(seen) > 100_000:
             seen.clear()
         for w in self.reader.words(text):
             f = seen.get(w)
@@ -283,6 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_rows: int
                         for f in {f for w in reader.words(text) for f in features(w)}:
                             if only is None or f in only:
                                 n[f] = n.get(f, 0) + 1
+                        if len(n) > 200_000:  # sums are added up later; memory stays bounded
+                            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
+                            n = {}
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
 
         return rows.mapInArrow(each, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
