@@ -30,11 +30,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: ends the lineage, fixes row placement."""
+    """Write df as a table in the shared folder and read it back: ends the lineage, fixes row placement.
+
+    The shuffle files of the write go as soon as it is done, not when the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
