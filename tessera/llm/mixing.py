@@ -122,16 +122,16 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     digest = F.sha2("text", 256)
     keyed = docs.withColumn("_digest", digest)
     mixed = mix(keyed, carry=("_digest",), **settings).where("taken > 0")
-    flat = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_d"), "size", F.inline("copies"))
-    flat = cut(flat.select("_id", "_source", "_d", "size", "copy", "words", "position"), "mix-copies")
-    many = flat.where("copy = 0").groupBy("_id", "_source", "_d").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    flat = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_d"), F.col("size").alias("_size"), F.inline("copies").alias("_copy", "_words", "_position"))
+    flat = cut(flat, "mix-copies")
+    many = flat.where("_copy = 0").groupBy("_id", "_source", "_d").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
     if not many.isEmpty():
         keyed = keyed.dropDuplicates(["doc_id", "source", "_digest"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_digest") == F.col("_d"))
     rows = keyed.join(flat, same)
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+        rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "_position", "doc_id").sortWithinPartitions("_position", "doc_id")
     return rows.select(*docs.columns)
