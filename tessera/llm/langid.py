@@ -46,7 +46,8 @@ def gram_counts(texts: list[str], dims: int) -> np.ndarray:
         data = _KEEP[np.frombuffer(pad + pad.join(raw[i:j]) + pad, np.uint8)].astype(np.uint32)
         sizes = np.array([len(r) + len(pad) for r in raw[i:j]])
         row = np.repeat(np.arange(j - i, dtype=np.int64), sizes)
-        row = np.concatenate((np.zeros(len(pad) // 2, np.int64), row, np.full(len(pad), j - i - 1)))[: len(data)]
+        # a gram belongs to the text of its first letter: a text begins where its first gram of the longest kind does
+        row = np.concatenate((np.zeros(1, np.int64), row, np.full(len(pad), j - i - 1)))[: len(data)]
         total = np.zeros((j - i) * dims)
         for n in GRAMS:
             code = data[: len(data) - n + 1].copy()
