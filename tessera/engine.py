@@ -94,7 +94,7 @@ class Index:
         write(files, "files")
         write(facts if facts is not None else tree.facts_of(read("files")), "facts")
         write(search if search is not None else search_facts(read("files"), read("facts")), "search")
-        resolved = resolve.resolve(read("facts"))
+        resolved = resolve.resolve(read("facts"), tree.go_modules(self.spark, self.root))
         write(resolve.exploded(read("facts"), "symbols").dropDuplicates(), "symbols")
         write(resolved.sites, "sites")
         write(resolved.imports, "imports")

@@ -6,7 +6,7 @@ import posixpath
 
 SCHEMA = """path string, lang string, package string, module_shadowed array<string>,
 symbols array<struct<canonical:string,name:string,owner:string,kind:string,line:int,end_line:int,column:int,exported:boolean,is_default:boolean,is_static:boolean,arity:int,varargs:boolean,hierarchy:boolean,inherent:boolean>>,
-calls array<struct<source:string,name:string,how:string,line:int,column:int,owner:string,blocked:string,cls:string,receiver:string,is_static:boolean,arity:int>>,
+calls array<struct<source:string,name:string,how:string,line:int,column:int,owner:string,blocked:string,cls:string,receiver:string,is_static:boolean,arity:int,member:string>>,
 imports array<struct<seq:int,module:string,line:int,column:int,type_only:boolean,unsupported:string,wildcard:boolean,relative:boolean,candidates:array<struct<tier:int,path:string>>>>,
 bindings array<struct<seq:int,local:string,imported:string,is_default:boolean>>,
 exports array<struct<local:string,exported:string,type_only:boolean>>,
@@ -30,8 +30,8 @@ class Facts:
     def symbol(self, canonical, name, owner, kind, line, end_line, column, exported=False, is_default=False, is_static=False, arity=None, varargs=False, hierarchy=False, inherent=False) -> None:
         self.symbols.append(dict(canonical=canonical, name=name, owner=owner, kind=kind, line=line, end_line=end_line, column=column, exported=exported, is_default=is_default, is_static=is_static, arity=arity, varargs=varargs, hierarchy=hierarchy, inherent=inherent))
 
-    def call(self, source, name, how, line, column, owner=None, blocked=None, cls=None, receiver=None, is_static=False, arity=None) -> None:
-        self.calls.append(dict(source=source, name=name, how=how, line=line, column=column, owner=owner, blocked=blocked, cls=cls, receiver=receiver, is_static=is_static, arity=arity))
+    def call(self, source, name, how, line, column, owner=None, blocked=None, cls=None, receiver=None, is_static=False, arity=None, member=None) -> None:
+        self.calls.append(dict(source=source, name=name, how=how, line=line, column=column, owner=owner, blocked=blocked, cls=cls, receiver=receiver, is_static=is_static, arity=arity, member=member))
 
     def imported(self, module, line, column, candidates, bindings, type_only=False, unsupported=None, wildcard=False, relative=False) -> int:
         seq = len(self.imports)

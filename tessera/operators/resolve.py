@@ -78,7 +78,7 @@ def _exports(facts: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[
 
 def bindings(facts: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Each imported name with what it can be called for: path, local, symbol, state (RESOLVED, UNRESOLVED, AMBIGUOUS), position."""
-    rows = exploded(facts, "bindings").join(imports.select("path", "seq", "n", "target", "type_only", "line", "column"), ["path", "seq"])
+    rows = exploded(facts, "bindings").where("lang in ('js', 'python')").join(imports.select("path", "seq", "n", "target", "type_only", "line", "column"), ["path", "seq"])
     exports, unsure = _exports(facts, symbols, imports)
     python = symbols.where("lang = 'python' and kind = 'function'").select("path", F.col("name").alias("exported"), F.lit(False).alias("is_default"), "canonical")
     offered = exports.unionByName(python).groupBy("path", "exported", "is_default").agg(F.count(F.lit(1)).alias("k"), F.min("canonical").alias("symbol"))
@@ -110,15 +110,18 @@ _BLOCKED = {
     "NO_CLASS": "used on this outside a class that is indexed",
     "MANY_BINDINGS": "the receiver has several constructor bindings before this call",
     "REASSIGNED": "the receiver is assigned again",
+    "NO_RECEIVER": "not called on the instance of an own impl block",
     "SHADOWED_CLASS": "a local name may hide the receiver's class",
 }
 
 
-def resolve(facts: DataFrame) -> Resolved:
-    """Edges and issues of JS/TS, Python and Java facts."""
+def resolve(facts: DataFrame, go_modules: DataFrame | None = None) -> Resolved:
+    """Edges and issues of the facts of all languages; go_modules has the folders (root) and names (module) of go.mod files."""
     symbols = written(exploded(facts, "symbols"), "symbols")
     imports = written(modules(facts), "imports")
     bound = written(bindings(facts, symbols, imports), "bindings")
+    rust_bound, rust_imports, rust_issues = _rust_uses(facts, symbols, imports)
+    rust_bound = written(rust_bound, "rust-bindings")
     calls = written(exploded(facts, "calls"), "calls")
     # JS/TS: two symbols of one canonical name make no calls
     once = graph.unique_symbols(symbols)
@@ -128,13 +131,13 @@ def resolve(facts: DataFrame) -> Resolved:
     issues = issues.unionByName(issue_rows(calls.where("how = 'other' and blocked is null"), F.lit(UNRESOLVED), "source", "name", F.lit("what this is called on isn't modelled")))
     open_calls = calls.where("blocked is null and how <> 'other'")
     sites, found = [], [issues, _import_issues(imports.where("lang in ('js', 'python')"), bound)]
-    for part in (_direct(facts, symbols, bound, open_calls), _self(symbols, open_calls), _constructed(symbols, imports, facts, open_calls), _java_calls(facts, symbols, open_calls)):
+    for part in (_direct(facts, symbols, bound.select("path", "local", "symbol", "state").unionByName(rust_bound), open_calls), _self(symbols, open_calls), _constructed(symbols, imports, facts, open_calls), _java_calls(facts, symbols, open_calls), _go_calls(facts, symbols, go_modules, open_calls)):
         sites.append(part[0])
         found.append(part[1])
     hierarchy, more = _hierarchy(facts, symbols, imports)
     found.append(more)
     java_imports, java_issues = _java_imports(facts, symbols)
-    found.append(java_issues)
+    found += [java_issues, rust_issues, _go_import_issues(facts, go_modules)]
     every = sites[0]
     for s in sites[1:]:
         every = every.unionByName(s)
@@ -145,7 +148,7 @@ def resolve(facts: DataFrame) -> Resolved:
     edges = imports.where("n = 1 and lang in ('js', 'python') and (lang = 'js' or not module rlike '^\\\\.+$')").select(F.col("path").alias("src"), F.col("target").alias("dst"))
     return Resolved(
         graph.with_both_ends(every, ends).select("src", "dst", "line", "column").distinct(),
-        edges.unionByName(java_imports).distinct(),
+        edges.unionByName(java_imports).unionByName(rust_imports).distinct(),
         graph.with_both_ends(hierarchy, ends).select("src", "dst", "kind", "line", "column").distinct(),
         problems.distinct(),
     )
@@ -165,7 +168,7 @@ def _by_count(rows: DataFrame, n: Column, target: str, none: str, many: str) ->
 
 def _direct(facts: DataFrame, symbols: DataFrame, bound: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain calls. JS/TS unites local functions and bindings; in Python a binding takes the place of local functions."""
-    rows = calls.where("how = 'direct' and lang in ('js', 'python')")
+    rows = calls.where("how = 'direct' and lang in ('js', 'python', 'rust')")
     local = counted(symbols.where("kind = 'function'"), ["path", "name"], "canonical", "own")
     per = bound.groupBy("path", F.col("local").alias("name")).agg(
         F.countDistinct("symbol").alias("b_n"),
@@ -199,8 +202,9 @@ def _methods(symbols: DataFrame) -> DataFrame:
 
 def _self(symbols: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """this.m() and the like: a method of the same class in the same file; JS/TS also looks at static."""
-    found = _methods(symbols).groupBy("path", "owner", "name", "is_static").agg(F.count(F.lit(1)).alias("k"), F.min("canonical").alias("target"))
-    rows = calls.where("how = 'self' and lang in ('js', 'python')").join(found, ["path", "owner", "name", "is_static"], "left")
+    own = symbols.where("kind = 'method' and (lang in ('js', 'python') or lang = 'rust' and inherent and not is_static)")
+    found = own.groupBy("path", "owner", "name", "is_static").agg(F.count(F.lit(1)).alias("k"), F.min("canonical").alias("target"))
+    rows = calls.where("how = 'self' and lang in ('js', 'python', 'rust')").join(found, ["path", "owner", "name", "is_static"], "left")
     return _by_count(rows, F.col("k"), "target", "its class has no such method", "its class has several such methods")
 
 
@@ -250,6 +254,107 @@ def _hierarchy(facts: DataFrame, symbols: DataFrame, imports: DataFrame) -> tupl
     return edges, issue_rows(bad, F.when(unsure, AMBIGUOUS).otherwise(UNRESOLVED), "source", "target", F.when(unsure, "several types could be meant").otherwise("no type in scope is known by this name"))
 
 
+# --- Rust --------------------------------------------------------------------------------------------------
+
+
+def _rust_positions(facts: DataFrame, imports: DataFrame) -> DataFrame:
+    """path, root, segments: the module that each file is, from crate roots along declarations with one source file."""
+    name = F.element_at(F.split("path", "/"), -1)
+    slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
+    root = name.isin("lib.rs", "main.rs") | (F.col("path").startswith("src/bin/") & (slashes == 2))
+    seen = frontier = written(facts.where("lang = 'rust'").where(root).select("path", F.col("path").alias("root"), F.array().cast("array<string>").alias("segments")), "rust-modules")
+    steps = imports.where("lang = 'rust' and unsupported = 'MOD' and n = 1").select("path", F.col("module").alias("_name"), F.col("target").alias("_next"))
+    while not frontier.isEmpty():  # one level of nesting each time
+        reached = frontier.join(steps, "path").select(F.col("_next").alias("path"), "root", F.concat("segments", F.array("_name")).alias("segments"))
+        reached = reached.groupBy("path", "root").agg(F.min("segments").alias("segments"))
+        frontier = written(reached.join(seen, ["path", "root"], "left_anti"), "rust-modules")
+        seen = seen.unionByName(frontier)
+    return written(seen, "rust-positions")
+
+
+def _rust_uses(facts: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bindings, import edges, issues) of Rust's mod and use."""
+    mods = imports.where("lang = 'rust' and unsupported = 'MOD'")
+    inline = imports.where("lang = 'rust' and unsupported = 'INLINE'")
+    status = F.when(F.col("n") == 0, UNRESOLVED).otherwise(AMBIGUOUS)
+    issues = issue_rows(mods.where("n <> 1"), status, "path", "module", F.when(F.col("n") == 0, "the module has no source file").otherwise("the module has several source files"))
+    issues = issues.unionByName(issue_rows(inline, F.lit(UNRESOLVED), "path", "module", F.lit("modules with a body here aren't entered")))
+    globs = imports.where("lang = 'rust' and unsupported = 'GLOB'").withColumn("name", F.lit("*"))
+    issues = issues.unionByName(issue_rows(globs, F.lit(UNRESOLVED), "path", "name", F.lit("glob uses aren't followed")))
+    uses = imports.where("lang = 'rust' and unsupported = 'USE'").drop("n", "target")
+    uses = uses.withColumn("_base", F.substring_index("module", "|", 1)).withColumn("_rest", F.substring_index("module", "|", -1))
+    uses = uses.withColumn("_rest", F.when(F.col("_rest") == "", F.array().cast("array<string>")).otherwise(F.split("_rest", "::")))
+    at = _rust_positions(facts, imports)
+    here = F.when(F.col("_base") == "crate", F.array().cast("array<string>")).when(F.col("_base") == "self", F.col("segments")).when(F.size("segments") > 0, F.slice("segments", F.lit(1), F.size("segments") - 1))
+    tried = uses.where("_base <> 'external'").join(at, "path").withColumn("_at", F.concat(here, F.col("_rest"))).where("_at is not null").select("path", "seq", "root", "_at")
+    hit = tried.join(at.select("root", F.col("segments").alias("_at"), F.col("path").alias("_file")), ["root", "_at"])
+    hit = hit.groupBy("path", "seq").agg(F.countDistinct("_file").alias("n"), F.min("_file").alias("target"))
+    uses = uses.join(hit, ["path", "seq"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("name", F.lit("use"))
+    status = F.when(F.col("n") == 0, UNRESOLVED).otherwise(AMBIGUOUS)
+    why = F.when(F.col("_base") == "external", "paths that don't begin with crate, self or super aren't followed").when(F.col("n") == 0, "the path leads to no declared module").otherwise("the path leads to several modules")
+    issues = issues.unionByName(issue_rows(uses.where("n <> 1"), status, "path", "name", why))
+    functions = symbols.where("lang = 'rust' and kind = 'function'").groupBy(F.col("path").alias("target"), F.col("name").alias("imported")).agg(F.count(F.lit(1)).alias("k"), F.min("canonical").alias("symbol"))
+    rows = exploded(facts, "bindings").where("lang = 'rust'").drop("lang").join(uses.select("path", "seq", "n", "target", "line", "column"), ["path", "seq"]).withColumn("target", F.when(F.col("n") == 1, F.col("target"))).join(functions, ["target", "imported"], "left")
+    state = F.when(F.col("k") == 1, "RESOLVED").when((F.col("k") > 1) | (F.col("n") > 1), AMBIGUOUS).otherwise(UNRESOLVED)
+    rows = rows.withColumn("state", state).withColumn("symbol", F.when(F.col("state") == "RESOLVED", F.col("symbol")))
+    issues = issues.unionByName(issue_rows(rows.where("n = 1 and state <> 'RESOLVED'"), F.col("state"), "path", "local", F.lit("the module doesn't have exactly one function of this name")))
+    edges = mods.where("n = 1").select("path", "target").unionByName(uses.where("n = 1").select("path", "target"))
+    return rows.select("path", "local", "symbol", "state"), edges.select(F.col("path").alias("src"), F.col("target").alias("dst")), issues
+
+
+# --- Go ----------------------------------------------------------------------------------------------------
+
+
+def _folder(path: str = "path") -> Column:
+    return F.when(F.instr(F.col(path), "/") > 0, F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
+
+
+def _go_imports(facts: DataFrame, go_modules: DataFrame | None) -> DataFrame:
+    """Go imports with dir and pkg of the one package they lead to: the nearest go.mod above the file counts."""
+    rows = exploded(facts, "imports").where("lang = 'go'").drop("candidates").withColumnRenamed("module", "_import")
+    if go_modules is None:
+        return rows.select("*", F.lit(None).cast("string").alias("dir"), F.lit(None).cast("string").alias("pkg"))
+    parts = F.split(_folder(), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    near = rows.select("path").distinct().select("path", F.explode(F.array_distinct(above)).alias("root")).join(go_modules, "root")
+    near = near.groupBy("path").agg(F.max_by(F.struct("root", "module"), F.length("root")).alias("m"))
+    rows = rows.join(near, "path", "left")
+    prefix = F.concat("m.module", F.lit("/"))
+    rest = F.when(F.startswith(F.col("_import"), prefix), F.ltrim(F.substr("_import", F.length(prefix) + 1), F.lit("/")))
+    rows = rows.withColumn("dir", F.when(F.col("m.root") == "", rest).otherwise(F.concat("m.root", F.lit("/"), rest)))
+    packages = facts.where("lang = 'go'").groupBy(_folder().alias("dir")).agg(F.countDistinct("package").alias("_p"), F.min("package").alias("pkg")).where("_p = 1").drop("_p")
+    return rows.join(packages, "dir", "left").withColumn("dir", F.when(F.col("pkg").isNotNull(), F.col("dir"))).drop("m")
+
+
+def _go_import_issues(facts: DataFrame, go_modules: DataFrame | None) -> DataFrame:
+    return issue_rows(_go_imports(facts, go_modules).where("pkg is null"), F.lit(UNRESOLVED), "path", "_import", F.lit("no single package of this tree is imported by this path"))
+
+
+def _go_calls(facts: DataFrame, symbols: DataFrame, go_modules: DataFrame | None, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Functions of the own package, methods of proven types, exported functions of imported packages."""
+    files = facts.where("lang = 'go'").select("path", _folder().alias("dir"), F.col("package").alias("pkg"))
+    own = symbols.where("lang = 'go'").join(files, "path")
+    functions = own.where("kind = 'function'").groupBy("dir", "pkg", F.col("name").alias("_called")).agg(F.count(F.lit(1)).alias("k"), F.min("canonical").alias("target"))
+    methods = own.where("kind = 'method'").groupBy("dir", "pkg", F.col("owner").alias("cls"), F.col("name").alias("_called")).agg(F.count(F.lit(1)).alias("k"), F.min("canonical").alias("target"))
+    names = exploded(facts, "bindings").where("lang = 'go'").select("path", "seq", "local", "is_default")
+    alias = _go_imports(facts, go_modules).where("pkg is not null").join(names, ["path", "seq"])
+    # of several imports under one name the last counts
+    alias = alias.groupBy("path", F.when(F.col("is_default"), F.col("pkg")).otherwise(F.col("local")).alias("receiver")).agg(F.max_by(F.struct("dir", "pkg"), "seq").alias("to"))
+    go = calls.where("lang = 'go'").join(files, "path").withColumn("_called", F.when(F.col("how") == "direct", F.col("name")).otherwise(F.col("member")))
+    far = go.where("how in ('far_method', 'package')").join(alias, ["path", "receiver"], "left").withColumn("dir", F.col("to.dir")).withColumn("pkg", F.col("to.pkg"))
+    parts = [
+        go.where("how = 'direct'").join(functions, ["dir", "pkg", "_called"], "left"),
+        go.where("how = 'method'").join(methods, ["dir", "pkg", "cls", "_called"], "left"),
+        far.where("how = 'far_method'").join(methods, ["dir", "pkg", "cls", "_called"], "left"),
+        far.where("how = 'package'").join(functions, ["dir", "pkg", "_called"], "left").withColumn("k", F.when(F.col("_called").rlike(r"^\p{Lu}"), F.col("k"))),
+    ]
+    sites, issues = None, None
+    for part in parts:
+        s, i = _by_count(part, F.col("k"), "target", "no target is proven for this call", "several targets could be meant")
+        sites, issues = (s, i) if sites is None else (sites.unionByName(s), issues.unionByName(i))
+    return sites, issues
+
+
 # --- Java --------------------------------------------------------------------------------------------------
 
 

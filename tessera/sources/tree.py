@@ -13,11 +13,11 @@ import subprocess
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import extract_java, extract_js, extract_python
+from ..functions import extract_go, extract_java, extract_js, extract_python, extract_rust
 from ..functions.facts import SCHEMA
 
-LANGUAGES = {"ts": "js", "tsx": "js", "js": "js", "jsx": "js", "py": "python", "java": "java"}
-EXTRACTORS = {"js": extract_js.extract, "python": extract_python.extract, "java": extract_java.extract}
+LANGUAGES = {"ts": "js", "tsx": "js", "js": "js", "jsx": "js", "py": "python", "rs": "rust", "go": "go", "java": "java"}
+EXTRACTORS = {"js": extract_js.extract, "python": extract_python.extract, "rust": extract_rust.extract, "go": extract_go.extract, "java": extract_java.extract}
 PRUNED = {".git", "node_modules", "target", "dist", "build", "vendor", ".tessera"}
 
 
@@ -70,3 +70,23 @@ def facts_of(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "lang", "content").mapInArrow(each, SCHEMA)
+
+
+def go_modules(spark: SparkSession, root: str) -> DataFrame:
+    """root (folder), module of every go.mod below root that names one."""
+    rows = []
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(d for d in folders if d != ".git")
+        if "go.mod" in names:
+            at = os.path.relpath(folder, root).replace(os.sep, "/")
+            with open(os.path.join(folder, "go.mod"), encoding="utf-8") as f:
+                rows += module_of("" if at == "." else at, f.read())
+    return spark.createDataFrame(rows, "root string, module string")
+
+
+def module_of(folder: str, text: str) -> list[tuple[str, str]]:
+    for line in map(str.strip, text.split("\n")):
+        if line.startswith("module "):
+            name = line[7:].strip()
+            return [(folder, name)] if name and not any(c.isspace() for c in name) else []
+    return []

@@ -93,3 +93,33 @@ def test_index_of_a_tree(spark, tmp_path):
     (tmp_path / "pkg" / "more.py").write_text("def more():\n    pass\n")
     assert Index.open(spark, str(tmp_path)).symbols.where("name = 'more'").count() == 1
     assert "/.tessera/" in (tmp_path / ".git" / "info" / "exclude").read_text()
+
+
+def test_rust(spark):
+    calls, imports, _, issues = resolved(spark, {
+        "src/lib.rs": "mod util;\nmod two;\npub mod inner { pub fn x() {} }\nuse crate::util::{leaf as l, missing};\nuse std::fmt;\n\npub fn run(cb: fn()) {\n    l();\n    cb();\n    missing();\n    println!(\"{}\", l());\n    let own = 1;\n    own();\n    A::new().go();\n}\n",
+        "src/util.rs": "pub fn leaf() { deep(leaf()); }\nfn deep(x: ()) {}\npub struct S;\nimpl S {\n    pub fn a(&self) { self.b(); self.b(); self.t(); }\n    fn b(&self) {}\n    fn stat() { self.b(); }\n}\nimpl T for S { fn t(&self) { self.b(); } }\nmod child;\n",
+        "src/util/child.rs": "use super::leaf;\nuse self::grand::g;\nmod grand;\nfn c() { leaf(); g(); }\n",
+        "src/util/child/grand.rs": "pub fn g() {}\n",
+        "src/two.rs": "",
+        "src/two/mod.rs": "",
+    })
+    assert calls == {("src/lib.rs::run", "src/util.rs::leaf"), ("src/util.rs::leaf", "src/util.rs::deep"), ("src/util.rs::leaf", "src/util.rs::leaf"), ("src/util.rs::S.a", "src/util.rs::S.b"), ("src/util/child.rs::c", "src/util.rs::leaf"), ("src/util/child.rs::c", "src/util/child/grand.rs::g")}
+    assert {("src/lib.rs", "src/util.rs"), ("src/util.rs", "src/util/child.rs"), ("src/util/child.rs", "src/util.rs")} <= imports
+    assert {("AMBIGUOUS", "src/lib.rs", "two"), ("UNRESOLVED", "src/lib.rs", "inner"), ("UNRESOLVED", "src/lib.rs", "use"), ("UNRESOLVED", "src/lib.rs", "missing"), ("UNRESOLVED", "src/lib.rs::run", "cb"), ("UNRESOLVED", "src/lib.rs::run", "own")} <= issues
+
+
+def test_go(spark):
+    files = {
+        "app/main.go": "package main\n\nimport (\n\t\"example.com/x/store\"\n\talias \"example.com/x/two\"\n\t\"fmt\"\n)\n\ntype Local struct{ n int }\n\nfunc (l *Local) Go() { l.Step(); l.n.Other() }\nfunc (l *Local) Step() {}\nfunc (Local) Unnamed() {}\n\nfunc run(s store.Store, p *Local, f func()) {\n\ts.Save()\n\tp.Step()\n\thelper()\n\tf()\n\tstore.New(helper())\n\tstore.hidden()\n\talias.Do()\n\tfmt.Println()\n\tx := taken()\n\tx.y().z()\n\tvar v Local\n\tv.Go()\n\tgo func() { helper() }()\n}\n\nfunc helper() {}\nfunc taken() {}\n",
+        "store/store.go": "package store\n\ntype Store struct{}\n\nfunc (s Store) Save() {}\nfunc New(x int) {}\nfunc hidden() {}\n",
+        "two/a.go": "package two\nfunc Do() {}\n",
+        "two/b.go": "package two_test\n",
+    }
+    rows = [(p, tree.language(p), t) for p, t in files.items()]
+    facts = written(tree.facts_of(spark.createDataFrame(rows, "path string, lang string, content string")), "facts")
+    r = resolve(facts, spark.createDataFrame(tree.module_of("", "// x\nmodule example.com/x\n"), "root string, module string"))
+    m = "app/main.go::"
+    assert {(x["src"], x["dst"]) for x in r.sites.collect()} == {(m + "Local.Go", m + "Local.Step"), (m + "run", "store/store.go::Store.Save"), (m + "run", m + "Local.Step"), (m + "run", m + "helper"), (m + "run", "store/store.go::New"), (m + "run", m + "Local.Go")}
+    issues = {(x["status"], x["source"], x["name"]) for x in r.issues.collect()}
+    assert {("UNRESOLVED", "app/main.go", "example.com/x/two"), ("UNRESOLVED", "app/main.go", "fmt"), ("UNRESOLVED", m + "run", "taken"), ("UNRESOLVED", m + "run", "f"), ("UNRESOLVED", m + "run", "store"), ("UNRESOLVED", m + "run", "alias"), ("UNRESOLVED", m + "run", "z")} <= issues
