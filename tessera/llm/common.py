@@ -31,14 +31,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: ends the lineage, fixes row placement.
 
     The shuffle files of the write go as soon as it is done, not when the driver happens to collect garbage.
+    Where the session still has Spark's own Arrow batch of 10,000 rows, it is set to 2,000: texts are long.
     """
     spark = df.sparkSession
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     path = new_path(spark, tag)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, partitions
+from .textops import give_back
 
 MOST_PIVOTS = 2048
 MOST_SAMPLE = 4096
@@ -113,6 +114,7 @@ def _groups(batches, key_columns: int):
         held = t.slice(edges[-1])
     if held is not None and held.num_rows:
         yield held
+    give_back()
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

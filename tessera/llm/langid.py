@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, held_out
-from .textops import slices
+from .textops import portions, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 GRAMS = (2, 3, 4)
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _KEEP[128:] = np.arange(128, 256)
-_ROWS = 256
+_ROWS = 128
 
 
 def gram_counts(texts: list[str], dims: int) -> np.ndarray:
@@ -42,7 +42,7 @@ def gram_counts(texts: list[str], dims: int) -> np.ndarray:
     out = np.zeros((len(texts), dims), np.float32)
     raw = [t.lower().encode("utf-8", "replace") for t in texts]
     pad = b" " * max(GRAMS)
-    for i, j in slices([len(r) for r in raw], 1 << 20):
+    for i, j in slices([len(r) for r in raw], 1 << 18):
         data = _KEEP[np.frombuffer(pad + pad.join(raw[i:j]) + pad, np.uint8)].astype(np.uint32)
         sizes = np.array([len(r) + len(pad) for r in raw[i:j]])
         row = np.repeat(np.arange(j - i, dtype=np.int64), sizes)
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, dims: int = 4096, clusters: int = 4, sample: int = 600,
     def look(batches):
         frequency = np.zeros(dims, np.int64)
         seen = 0
-        for b in batches:
+        for b in portions(batches):
             texts = [t or "" for t in b.column(0).to_pylist()]
             langs, chosen = b.column(1).to_pylist(), b.column(2).to_pylist()
             good = [i for i, t in enumerate(texts) if LETTER.search(t)]
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def each(batches):
         m = shared.value
-        for b in batches:
+        for b in portions(batches):
             texts = b.column(1).to_pylist()
             n = len(texts)
             langs, scores, rejected = ["und"] * n, [0.0] * n, [True] * n
@@ -201,7 +201,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def each(batches):
         m = shared.value
-        for b in batches:
+        for b in portions(batches):
             texts = b.column(at).to_pylist()
             good = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
             rejected = m.predict([texts[i] for i in good])[2] if good else []

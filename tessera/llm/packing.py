@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
+from .textops import portions
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_TEXT = 1_000_000
@@ -52,13 +53,15 @@ def encoder(path: str):
     tiktoken; texts beyond LONG_TEXT characters and other vocabularies go through tokenizers itself.
     """
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        own: list = []
 
         def slow(text: str) -> list[int]:
-            return own.encode(text, add_special_tokens=False).ids
+            if not own:  # loaded only where a text needs it
+                from tokenizers import Tokenizer
+
+                own.append(Tokenizer.from_file(path))
+                own[0].encode_special_tokens = True
+            return own[0].encode(text, add_special_tokens=False).ids
 
         fast = None
         model = json.load(open(path, encoding="utf-8"))
@@ -83,7 +86,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
 
     def each(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in portions(batches):
             rows: list[list] = [[], [], [], [], [], []]
             texts = batch.column(1)
             for i in range(batch.num_rows):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, partitions, release
 from .embeddings import _groups
-from .textops import inside, mix, runs, slices, words
+from .textops import inside, mix, portions, runs, slices, words
 
 BITS = 128
 KEY = 60
@@ -73,7 +73,7 @@ def signatures(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros((len(texts), BITS), np.int32)
     have = np.flatnonzero(sizes)
     edges = np.concatenate(([0], np.cumsum(sizes[have])))
-    for i, j in slices(sizes[have].tolist(), 1 << 16):
+    for i, j in slices(sizes[have].tolist(), 1 << 14):
         part = value[edges[i] : edges[j]]
         bits = np.unpackbits(np.stack((part, mix(part ^ np.uint64(0x5851F42D4C957F2D))), axis=1).view(np.uint8), axis=1)
         # a running total per bit is faster than a sum per text
@@ -88,7 +88,7 @@ def describe(docs: DataFrame, tables: int) -> DataFrame:
     weights = np.int64(1) << np.arange(KEY - 1, -1, -1, dtype=np.int64)
 
     def each(batches):
-        for b in batches:
+        for b in portions(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for i, j in slices([len(t or b"") for t in texts], 1 << 21):
                 part = texts[i:j]
@@ -180,7 +180,7 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 
     def each(batches):
         known: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in portions(batches):
             bs, as_ = b.column(0).to_pylist(), b.column(1).to_pylist()
             good = []
             for k, (m, n) in enumerate(zip(as_, bs)):

@@ -7,9 +7,13 @@ for any text length.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 _U = np.uint64
 _rng = np.random.RandomState(20240607)
 _TABLES = [(_rng.randint(0, 2**63, 256).astype(_U) << _U(1)) ^ _rng.randint(0, 2**63, 256).astype(_U) for _ in range(2)]
@@ -108,3 +112,23 @@ def slices(sizes: list[int], most: int):
         total += s
     if i < len(sizes):
         yield i, len(sizes)
+
+
+def portions(batches, rows: int = 500):
+    """The batches in slices of a few hundred rows, so that their Python objects never exist for a whole batch at once.
+
+    At the end the worker gives back the memory it no longer uses: Spark keeps idle workers alive.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

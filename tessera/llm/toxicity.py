@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, held_out
+from .textops import portions
 
 LETTERS = re.compile(r"[^\W\d_]+")
 _LEET = "0-9@$!|+*€"
@@ -238,7 +239,7 @@ def _model_counts(docs: DataFrame) -> np.ndarray:
 
     def each(batches):
         total = np.zeros(_SYMBOLS**3, np.int64)
-        for b in batches:
+        for b in portions(batches):
             held, size = [], 0
             for t in b.column(0).to_pylist():
                 if t:
@@ -277,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_rows: int
     def count(wanted: int, only: set[str] | None):
         def each(batches):
             reader, n = Reader(shared_lm.value), {}
-            for b in batches:
+            for b in portions(batches):
                 for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if toxic == wanted:
                         for f in {f for w in reader.words(text) for f in features(w)}:
@@ -305,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_rows: int
 
     def active(batches):
         reader = Reader(shared_lm.value)
-        for b in batches:
+        for b in portions(batches):
             found = [sorted({place[f] for w in reader.words(t) for f in features(w) if f in place}) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["f", "toxic"])
 
@@ -328,7 +329,7 @@ def score(docs: DataFrame, scorer: Scorer | None, threshold: float = 0.7) -> Dat
 
     def each(batches):
         s = shared.value
-        for b in batches:
+        for b in portions(batches):
             found = [s.score(t) if s else 0.0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], ["doc_id", "score", "predicted"])
 

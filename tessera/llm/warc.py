@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions
+from .textops import portions
 
 MIN_DEDUP = 100
 SEGMENT_BYTES = 16_384
@@ -130,7 +131,7 @@ def write_pages(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, file_
             made.append((final, records, written))
             out = None
 
-        for b in batches:
+        for b in portions(batches):
             for page_id, url, html, digest, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if out is None:
                     out = files.open_output_stream(f"{base}/.{pid}-{k}-{attempt}", compression=None)
@@ -208,7 +209,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in _RECORD.split(", ")]
 
     def each(batches):
-        for b in batches:
+        for b in portions(batches):
             for path in b.column(0).to_pylist():
                 files, at = fs.FileSystem.from_uri(path)
                 rows: list[tuple] = []
@@ -245,7 +246,7 @@ def reassemble(found: DataFrame) -> DataFrame:
     both = alone.select(*names, "total", "whole", "blocks").unionByName(grouped.select(*names, "total", "whole", "blocks"))
 
     def decode(batches):
-        for b in batches:
+        for b in portions(batches):
             payloads, valid = [], []
             for kind, total, whole, blocks in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(7)):
                 body = b"".join(blocks.as_py())
