@@ -486,12 +486,97 @@ HUNK_HEADERS = f"""with h(id, header) as (values {', '.join(map(str, _HUNKS))}),
 select id::int as id, x.a::int as old_start, coalesce(try_cast(x.b as int), 1) as old_count, x.c::int as new_start, coalesce(try_cast(x.d as int), 1) as new_count from p"""
 
 
+# --- sources -----------------------------------------------------------------------------------------------
+# A few sources of our own, with what is to be found in them: expectations by reading, not an independent oracle.
+
+_SOURCES = {
+    "web/api.ts": "import make, { fetchAll as all } from './data';\nimport type { Row } from './data';\n\nexport function list() {\n  all();\n  make();\n  unknown();\n}\n\nexport class Cache extends Base implements Row {\n  load() { this.fill(); }\n  fill() {}\n}\n\nclass Base {}\n",
+    "web/data.ts": "export function fetchAll() {}\nexport default function make() { fetchAll(); }\nexport interface Row {}\n",
+    "job/run.py": "from .steps import clean as c\n\n\ndef main():\n    c()\n    report()\n\n\ndef report():\n    print(1)\n",
+    "job/steps.py": "def clean():\n    pass\n",
+    "src/lib.rs": "mod util;\nuse crate::util::twice;\npub fn top() { twice(); }\n",
+    "src/util.rs": "pub fn twice() { once(); once(); }\nfn once() {}\n",
+    "srv/main.go": "package main\n\ntype S struct{}\n\nfunc (s *S) Run() { s.stop() }\nfunc (s *S) stop() {}\nfunc main() { start() }\nfunc start() {}\n",
+    "lib/A.java": "package lib;\n\nclass A implements I {\n  void go() { step(); }\n  void step() {}\n}\n\ninterface I {}\n",
+}
+
+
+def _golden(spark):
+    from ..operators.resolve import resolve
+    from ..sources import tree
+
+    rows = [(p, tree.language(p), t) for p, t in _SOURCES.items()]
+    facts = written(tree.facts_of(spark.createDataFrame(rows, "path string, lang string, content string")), "golden")
+    return facts, resolve(facts, spark.createDataFrame([], "root string, module string"))
+
+
+def golden_symbols(spark, d):
+    return _golden(spark)[0].select(F.inline("symbols")).select("canonical", "kind", "line", "end_line", "column")
+
+
+GOLDEN_SYMBOLS = """select * from (values
+    ('web/api.ts::list', 'function', 4, 8, 8), ('web/api.ts::Cache', 'class', 10, 13, 8), ('web/api.ts::Cache.load', 'method', 11, 11, 3), ('web/api.ts::Cache.fill', 'method', 12, 12, 3),
+    ('web/api.ts::Base', 'class', 15, 15, 1), ('web/data.ts::fetchAll', 'function', 1, 1, 8), ('web/data.ts::make', 'function', 2, 2, 16), ('web/data.ts::Row', 'type', 3, 3, 8),
+    ('job/run.py::main', 'function', 4, 6, 1), ('job/run.py::report', 'function', 9, 10, 1), ('job/steps.py::clean', 'function', 1, 2, 1),
+    ('src/lib.rs::top', 'function', 3, 3, 1), ('src/util.rs::twice', 'function', 1, 1, 1), ('src/util.rs::once', 'function', 2, 2, 1),
+    ('srv/main.go::S', 'type', 3, 3, 6), ('srv/main.go::S.Run', 'method', 5, 5, 1), ('srv/main.go::S.stop', 'method', 6, 6, 1), ('srv/main.go::main', 'function', 7, 7, 1), ('srv/main.go::start', 'function', 8, 8, 1),
+    ('lib/A.java::A', 'class', 3, 6, 1), ('lib/A.java::A.go', 'method', 4, 4, 3), ('lib/A.java::A.step', 'method', 5, 5, 3), ('lib/A.java::I', 'type', 8, 8, 1)
+) as t(canonical, kind, line, end_line, "column")"""
+
+
+def golden_calls(spark, d):
+    return _golden(spark)[1].sites.select("src", "dst", "line", "column")
+
+
+GOLDEN_CALLS = """select * from (values
+    ('web/api.ts::list', 'web/data.ts::fetchAll', 5, 3), ('web/api.ts::list', 'web/data.ts::make', 6, 3), ('web/api.ts::Cache.load', 'web/api.ts::Cache.fill', 11, 12), ('web/data.ts::make', 'web/data.ts::fetchAll', 2, 34),
+    ('job/run.py::main', 'job/steps.py::clean', 5, 5), ('job/run.py::main', 'job/run.py::report', 6, 5), ('src/lib.rs::top', 'src/util.rs::twice', 3, 16), ('src/util.rs::twice', 'src/util.rs::once', 1, 18), ('src/util.rs::twice', 'src/util.rs::once', 1, 26),
+    ('srv/main.go::S.Run', 'srv/main.go::S.stop', 5, 21), ('srv/main.go::main', 'srv/main.go::start', 7, 15), ('lib/A.java::A.go', 'lib/A.java::A.step', 4, 15)
+) as t(src, dst, line, "column")"""
+
+
+def golden_hierarchy(spark, d):
+    return _golden(spark)[1].structural.select("src", "kind", "dst")
+
+
+GOLDEN_HIERARCHY = "select * from (values ('web/api.ts::Cache', 'EXTENDS', 'web/api.ts::Base'), ('web/api.ts::Cache', 'IMPLEMENTS', 'web/data.ts::Row'), ('lib/A.java::A', 'IMPLEMENTS', 'lib/A.java::I')) as t(src, kind, dst)"
+
+
+def golden_imports(spark, d):
+    return _golden(spark)[1].imports
+
+
+GOLDEN_IMPORTS = "select * from (values ('web/api.ts', 'web/data.ts'), ('job/run.py', 'job/steps.py'), ('src/lib.rs', 'src/util.rs')) as t(src, dst)"
+
+
+def golden_issues(spark, d):
+    return _golden(spark)[1].issues.select("status", "source", "name", "line")
+
+
+GOLDEN_ISSUES = "select * from (values ('UNRESOLVED', 'web/api.ts', 'Row', 2), ('UNRESOLVED', 'web/api.ts::list', 'unknown', 7), ('UNRESOLVED', 'job/run.py::report', 'print', 10)) as t(status, source, name, line)"
+
+
+def lexer_split(spark, d):
+    """Words of code, comments and strings in the pages' HTML, as evidence counts."""
+    from ..functions.evidence import split_kinds
+
+    def each(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            parts = [split_kinds(h or "") for h in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([len(p[k].split()) for p in parts], pa.int64()) for k in range(3))], ["page_id", "code", "comments", "strings"])
+
+    return _t(spark, d, "pages").select("page_id", "html").mapInArrow(each, "page_id long, code long, comments long, strings long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         unique_resolution, endpoint_join, materialize_calls, call_sites_min, dependencies_union, impact_depth, impact_by_depth, impact_budget, trace_path, importer_closure,
         semi_pool_edges, components_pool, two_hop_sums, anti_visited, narrowest_span, positional_receiver, longest_prefix, tokenize_terms, doc_frequency, lexical_score,
         rank_topk, file_area_rerank, runner_up_confidence, nonproduction_paths, snapshot_changes, incremental_equals_full, hunk_headers,
+        golden_symbols, golden_calls, golden_hierarchy, golden_imports, golden_issues, lexer_split,
     )
 } | {"morphology": morphology_query}
 
@@ -501,4 +586,5 @@ ORACLE_SQL = {
     "two_hop_sums": TWO_HOP_SUMS, "anti_visited": ANTI_VISITED, "narrowest_span": NARROWEST_SPAN, "positional_receiver": POSITIONAL_RECEIVER, "longest_prefix": LONGEST_PREFIX, "tokenize_terms": TOKENIZE_TERMS,
     "morphology": MORPHOLOGY, "doc_frequency": DOC_FREQUENCY, "lexical_score": LEXICAL_SCORE, "rank_topk": RANK_TOPK, "file_area_rerank": FILE_AREA_RERANK, "runner_up_confidence": RUNNER_UP,
     "nonproduction_paths": NONPRODUCTION, "snapshot_changes": SNAPSHOT_CHANGES, "incremental_equals_full": INCREMENTAL, "hunk_headers": HUNK_HEADERS,
+    "golden_symbols": GOLDEN_SYMBOLS, "golden_calls": GOLDEN_CALLS, "golden_hierarchy": GOLDEN_HIERARCHY, "golden_imports": GOLDEN_IMPORTS, "golden_issues": GOLDEN_ISSUES,
 }
