@@ -94,7 +94,8 @@ class Index:
         write(files, "files")
         write(facts if facts is not None else tree.facts_of(read("files")), "facts")
         write(search if search is not None else search_facts(read("files"), read("facts")), "search")
-        resolved = resolve.resolve(read("facts"), tree.go_modules(self.spark, self.root))
+        write(tree.go_modules(self.spark, self.root).coalesce(1), "modules")
+        resolved = resolve.resolve(read("facts"), read("modules"))
         write(resolve.exploded(read("facts"), "symbols").dropDuplicates(), "symbols")
         write(resolved.sites, "sites")
         write(resolved.imports, "imports")
@@ -108,7 +109,7 @@ class Index:
             os.fsync(f.fileno())
         os.replace(made, os.path.join(state, "current.json"))
         old, self.folder = self.folder, at
-        for table in ("files", "facts", "search", "symbols", "sites", "imports", "structural", "issues", "dependencies"):
+        for table in ("files", "facts", "search", "symbols", "sites", "imports", "structural", "issues", "dependencies", "modules"):
             self.__dict__.pop(table, None)
         if old and os.path.dirname(old) == state:
             shutil.rmtree(old, ignore_errors=True)
@@ -129,9 +130,10 @@ class Index:
         """Bring the tables up to date: "same", "refreshed" or "rebuilt"."""
         now = tree.files_of(self.spark, self.root).cache()
         changes = changed_paths(self.files, now).cache()
-        if changes.isEmpty():
+        context = sorted(map(tuple, self.modules.collect())) != sorted(map(tuple, tree.go_modules(self.spark, self.root).collect()))
+        if changes.isEmpty() and not context:
             return "same"
-        if not same_files(self.files, now):
+        if context or not same_files(self.files, now):
             self._publish(now, None, None)
             return "rebuilt"
         fresh = now.join(changes.select("path"), "path", "left_semi")
@@ -152,6 +154,7 @@ class Index:
     imports = cached_property(lambda self: self._table("imports"))
     structural = cached_property(lambda self: self._table("structural"))
     issues = cached_property(lambda self: self._table("issues"))
+    modules = cached_property(lambda self: self._table("modules"))  # go.mod folders and names
     dependencies = cached_property(lambda self: self._table("dependencies"))
 
     # --- symbols ------------------------------------------------------------------------------------------

@@ -8,9 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP = sorted("a an and are at be by do does for from get gets how in is it of on or the to what when where with".split())
+_ARTICLES, _LINKS = "the a an", "with or and"
+_PLACES, _ASKING = "to on in from by at of for", "where when how what"
+_VERBS = "is are be it does do gets get"
+STOP = sorted(" ".join((_ARTICLES, _LINKS, _PLACES, _ASKING, _VERBS)).split())
 QUERY_STOP = sorted({*STOP, "explain", "identify", "main", "code", "repository", "enough", "once"})
-NON_PRODUCTION = sorted("test tests spec specs fixture fixtures example examples benchmark benchmarks sample samples demo demos".split())
+NON_PRODUCTION = sorted(f"{w}{s}" for w in ("demo", "sample", "example", "fixture", "benchmark", "spec", "test") for s in ("", "s"))
 TEST_WORDS = {"test", "tests", "spec", "specs", "fixture", "fixtures"}
 FLOW_WORDS = ("incoming", "reaches", "through", "flow", "path")
 PROCEDURAL = ("without ", "do not ", "don't ", "stop once ")

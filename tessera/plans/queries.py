@@ -556,6 +556,47 @@ def golden_issues(spark, d):
 GOLDEN_ISSUES = "select * from (values ('UNRESOLVED', 'web/api.ts', 'Row', 2), ('UNRESOLVED', 'web/api.ts::list', 'unknown', 7), ('UNRESOLVED', 'job/run.py::report', 'print', 10)) as t(status, source, name, line)"
 
 
+_REQUESTS = [("web/a.ts", "./data"), ("web/a.ts", "./data.js"), ("web/a.ts", "../x/y.jsx"), ("web/a.ts", "../../out"), ("web/a.ts", "react"), ("job/p/run.py", ".steps"), ("job/p/run.py", "..lib.util"), ("job/p/run.py", "os")]
+
+
+def module_candidates(spark, d):
+    """Files that a relative module may mean, by tier."""
+    from ..functions import extract_js, extract_python
+
+    rows = []
+    for path, module in _REQUESTS:
+        found = extract_js.module_paths(path, module) if path.endswith(".ts") else [(0, p) for p in extract_python.module_paths(path, module)]
+        rows += [(path, module, tier, p) for tier, p in found]
+    return spark.createDataFrame(rows, "path string, module string, tier int, candidate string")
+
+
+MODULE_CANDIDATES = """with e as (select unnest(['ts', 'tsx', 'js', 'jsx']) as e)
+select 'web/a.ts' as path, './data' as module, 0 as tier, 'web/data.' || e as candidate from e union all select 'web/a.ts', './data', 0, 'web/data/index.' || e from e
+union all select 'web/a.ts', './data.js', 0, 'web/data.js' union all select 'web/a.ts', './data.js', 1, 'web/data.' || e from e union all select 'web/a.ts', './data.js', 2, 'web/data/index.' || e from e
+union all select 'web/a.ts', '../x/y.jsx', 0, 'x/y.jsx' union all select 'web/a.ts', '../x/y.jsx', 1, 'x/y.' || e from e where e in ('tsx', 'jsx') union all select 'web/a.ts', '../x/y.jsx', 2, 'x/y/index.' || e from e where e in ('tsx', 'jsx')
+union all select * from (values ('job/p/run.py', '.steps', 0, 'job/p/steps.py'), ('job/p/run.py', '.steps', 0, 'job/p/steps/__init__.py'), ('job/p/run.py', '..lib.util', 0, 'job/lib/util.py'), ('job/p/run.py', '..lib.util', 0, 'job/lib/util/__init__.py'))"""
+
+
+def structural_rerank(spark, d):
+    """Corroboration of a pool's members by the edges inside it; a node's score is the length of its name."""
+    pool = {r["node"]: float(len(r["node"])) for r in _pool(spark, d).collect()}
+    inside = graph.pool_edges(edges(spark, d), _pool(spark, d)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).collect()
+    bonus = retrieve.structural_bonus(pool, [(r["src"], r["dst"], r["n"]) for r in inside])
+    return spark.createDataFrame([(k, float(v)) for k, v in bonus.items()], "node string, structural double").withColumn("structural", F.round("structural", 6))
+
+
+STRUCTURAL_RERANK = f"""with recursive {EDGES}, {POOL}, inside as (select src, dst from edges where src in (select node from pool) and dst in (select node from pool)),
+s as (select node, length(node)::double / (select greatest(1, max(length(node))) from pool) as s from pool),
+w as (select src as a, dst as b from inside union all select dst, src from inside),
+reach as (select node, node as low from pool union select x.b, r.low from reach r join w x on x.a = r.node),
+comp as (select node, min(low) as c from reach group by node),
+mass as (select c, case when count(*) > 1 then least(3.0, greatest(0.0, (sum(s) - 1) * 0.55)) else 0 end as bonus from comp join s using (node) group by c),
+direct as (select a, sum(s) as v from w join s on s.node = w.b group by a),
+two as (select x.a, sum(s) as v from w x join w y on x.b = y.a and x.a <> y.b join s on s.node = y.b group by x.a)
+select s.node, round(least(6.0, 2.4 * least(2.5, coalesce(direct.v, 0)) + 0.35 * least(3.0, coalesce(two.v, 0)) + bonus), 6)::double as structural
+from s join comp using (node) join mass using (c) left join direct on direct.a = s.node left join two on two.a = s.node"""
+
+
 def lexer_split(spark, d):
     """Words of code, comments and strings in the pages' HTML, as evidence counts."""
     from ..functions.evidence import split_kinds
@@ -576,7 +617,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         unique_resolution, endpoint_join, materialize_calls, call_sites_min, dependencies_union, impact_depth, impact_by_depth, impact_budget, trace_path, importer_closure,
         semi_pool_edges, components_pool, two_hop_sums, anti_visited, narrowest_span, positional_receiver, longest_prefix, tokenize_terms, doc_frequency, lexical_score,
         rank_topk, file_area_rerank, runner_up_confidence, nonproduction_paths, snapshot_changes, incremental_equals_full, hunk_headers,
-        golden_symbols, golden_calls, golden_hierarchy, golden_imports, golden_issues, lexer_split,
+        golden_symbols, golden_calls, golden_hierarchy, golden_imports, golden_issues, lexer_split, module_candidates, structural_rerank,
     )
 } | {"morphology": morphology_query}
 
@@ -586,5 +627,5 @@ ORACLE_SQL = {
     "two_hop_sums": TWO_HOP_SUMS, "anti_visited": ANTI_VISITED, "narrowest_span": NARROWEST_SPAN, "positional_receiver": POSITIONAL_RECEIVER, "longest_prefix": LONGEST_PREFIX, "tokenize_terms": TOKENIZE_TERMS,
     "morphology": MORPHOLOGY, "doc_frequency": DOC_FREQUENCY, "lexical_score": LEXICAL_SCORE, "rank_topk": RANK_TOPK, "file_area_rerank": FILE_AREA_RERANK, "runner_up_confidence": RUNNER_UP,
     "nonproduction_paths": NONPRODUCTION, "snapshot_changes": SNAPSHOT_CHANGES, "incremental_equals_full": INCREMENTAL, "hunk_headers": HUNK_HEADERS,
-    "golden_symbols": GOLDEN_SYMBOLS, "golden_calls": GOLDEN_CALLS, "golden_hierarchy": GOLDEN_HIERARCHY, "golden_imports": GOLDEN_IMPORTS, "golden_issues": GOLDEN_ISSUES,
+    "golden_symbols": GOLDEN_SYMBOLS, "golden_calls": GOLDEN_CALLS, "golden_hierarchy": GOLDEN_HIERARCHY, "golden_imports": GOLDEN_IMPORTS, "golden_issues": GOLDEN_ISSUES, "module_candidates": MODULE_CANDIDATES, "structural_rerank": STRUCTURAL_RERANK,
 }

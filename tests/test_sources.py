@@ -92,6 +92,10 @@ def test_index_of_a_tree(spark, tmp_path):
     assert "Changed symbols:\n- pkg/__init__.py::middle" in report and "pkg/__init__.py::entry" in report
     (tmp_path / "pkg" / "more.py").write_text("def more():\n    pass\n")
     assert Index.open(spark, str(tmp_path)).symbols.where("name = 'more'").count() == 1
+    (tmp_path / "go.mod").write_text("module example.com/y\n")
+    assert fresh.open(spark, str(tmp_path)).sync() == "same"  # open() took the new module name in
+    (tmp_path / "go.mod").write_text("module example.com/z\n")
+    assert Index(spark, str(tmp_path), Index.open(spark, str(tmp_path)).folder).modules.first()["module"] == "example.com/z"
     assert "/.tessera/" in (tmp_path / ".git" / "info" / "exclude").read_text()
 
 
