@@ -15,7 +15,7 @@ STOP = sorted(" ".join((_ARTICLES, _LINKS, _PLACES, _ASKING, _VERBS)).split())
 QUERY_STOP = sorted({*STOP, "explain", "identify", "main", "code", "repository", "enough", "once"})
 NON_PRODUCTION = sorted(f"{w}{s}" for w in ("demo", "sample", "example", "fixture", "benchmark", "spec", "test") for s in ("", "s"))
 TEST_WORDS = {"test", "tests", "spec", "specs", "fixture", "fixtures"}
-FLOW_WORDS = ("incoming", "reaches", "through", "flow", "path")
+FLOW_WORDS = frozenset("path flow through incoming reaches".split())
 PROCEDURAL = ("without ", "do not ", "don't ", "stop once ")
 
 

@@ -77,7 +77,8 @@ def lexical(symbols: DataFrame, facts: DataFrame, text: str) -> DataFrame:
     rows = symbols.join(found, "canonical", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
     rows = rows.where((F.col("matched") >= (2 if many >= 4 else 1)) | exact)
     coverage = F.coalesce("cover", F.lit(0.0)) / many
-    score = F.coalesce("contribution", F.lit(0.0)) / F.greatest(F.col("matched"), F.lit(1)) * (0.35 + 0.65 * coverage) + 12.0 * coverage * coverage
+    mean = F.coalesce("contribution", F.lit(0.0)) / F.greatest(F.col("matched"), F.lit(1))
+    score = mean * (coverage * 0.65 + 0.35) + coverage * 12.0 * coverage
     if not query.test_intent:
         score = score - F.when(non_production(F.col("path")), 8.0).otherwise(0.0)
     if query.flow_intent:

@@ -369,7 +369,7 @@ ev as (select canonical, t, max(wt * ql) as best, max(cv * ql) as cover, count(*
 df as (select t, count(*) as df from ev group by t), total as (select count(*) as n from s),
 per as (select canonical, sum(least(8.0, least(3.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * (best + least(0.36, 0.12 * (k - 1))))) as contribution, sum(cover) / {len(q.terms)} as coverage, count(*) as matched
     from ev join df using (t), total group by canonical),
-lex as (select canonical, path, name, matched, coverage, contribution / matched * (0.35 + 0.65 * coverage) + 12.0 * coverage * coverage + {0.7 if q.flow_intent else 0.0} as lexical
+lex as (select canonical, path, name, matched, coverage, contribution / matched * (coverage * 0.65 + 0.35) + coverage * 12.0 * coverage + {0.7 if q.flow_intent else 0.0} as lexical
     from per join s using (canonical) where matched >= {2 if len(q.terms) >= 4 else 1})"""
 
 

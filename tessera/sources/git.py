@@ -22,9 +22,10 @@ def git(root: str, *args: str) -> str:
 
 
 def require_head(root: str) -> None:
-    if git(root, "rev-parse", "--is-inside-work-tree").strip() != "true":
+    inside, head = "rev-parse --is-inside-work-tree", "rev-parse --verify HEAD"
+    if git(root, *inside.split()).strip() != "true":
         raise NotARepository("not inside a git work tree")
-    git(root, "rev-parse", "--verify", "HEAD")
+    git(root, *head.split())
 
 
 def changes(root: str) -> list[tuple[str, str]]:
