@@ -34,6 +34,7 @@ MIN_DEDUP = 100
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 FILE_BYTES = 256 << 20
+FEW_REVISITS = 100_000
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -108,11 +109,13 @@ def write_pages(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, file_
     facts = facts.where(F.col("n") >= MIN_DEDUP).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     revisits = cut(facts.join(firsts, ["digest", "salt"]).where("page_id is null or page_id <> first").select("page_id", "digest", "first").distinct(), "warc-revisits")
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"))
-    if revisits.isEmpty():
+    again = revisits.count()
+    if not again:
         rows = rows.withColumn("first", F.lit(None).cast("long"))
     else:
-        again = revisits.withColumnsRenamed({"page_id": "_id", "digest": "_d"})
-        rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_d")), "left").drop("_id", "_d")
+        marks = revisits.withColumnsRenamed({"page_id": "_id", "digest": "_d"})
+        # some 80 bytes each: few go to every task, many meet the pages by a shuffle
+        rows = rows.join(F.broadcast(marks) if again <= FEW_REVISITS else marks, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_d")), "left").drop("_id", "_d")
 
     def write(batches):
         context = TaskContext.get()
