@@ -104,8 +104,9 @@ class Model:
         for at in range(0, len(texts), _ROWS):
             counts = gram_counts(texts[at : at + _ROWS], len(self.idf))
             cos = unit(counts, self.idf) @ self.centroids.T
-            best = np.argmax(cos, axis=1)
-            top = np.clip(cos[np.arange(len(cos)), best], 0, 1)
+            best = np.argmax(np.round(cos, 6), axis=1)
+            # rounded: the last bits of a product depend on how many texts are multiplied at once
+            top = np.round(np.clip(cos[np.arange(len(cos)), best], 0, 1).astype(float), 6)
             langs += [self.langs[self.owner[b]] for b in best]
             scores += [float(s) for s in top]
             rejected += [bool(r) for r in top < self.radius[np.minimum(_length_class(counts), len(self.radius) - 1)]]
