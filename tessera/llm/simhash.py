@@ -8,9 +8,13 @@ own. Pairs within the Hamming distance are candidates and are verified on the te
 the two sets, 0.8 or more.
 
 Verification has two rounds, so that a large group of near copies doesn't need all its pairs. In the first
-every text puts forward its `nearest` candidates from each table; the verified ones are joined into classes. In
-the second all candidate pairs that lie in different classes and weren't tried go through, so no link
-between candidates is lost. Equal texts are one class from the start, whatever their number.
+every text puts forward its `nearest` candidates from each table; the verified ones are joined into classes.
+The second is exact, whatever the tables missed: texts of different classes meet in every run of their
+prefixes (prefix-filter join), and all pairs that the sizes and places allow are verified. A prefix is the
+n - ceil(0.8 n) + 1 first of a text's n runs in an order common to all texts: the runs that are frequent in a
+sample come last, the others by hash. The sample changes only the number of pairs, never the classes. Runs
+that more texts share than the cap are compared block against block as well. Equal texts are one class from
+the start, whatever their number.
 
 Defined cases: a null text is alone; texts without a word are alone but for equal ones; repeated rows are
 copies; class_id is the smallest doc_id of the class (null ids aside; null where all are) and kept is
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, partitions, release
 from .embeddings import _groups
-from .textops import inside, mix, portions, runs, slices, words
+from .textops import give_back, inside, mix, portions, runs, slices, words
 
 BITS = 128
 KEY = 60
@@ -68,9 +72,12 @@ def shingles(texts: list[bytes | None], run: int = RUN) -> tuple[np.ndarray, np.
 
 def signatures(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(number of distinct runs, packed 128-bit SimHash as two uint64) per text."""
-    at, value = shingles(texts)
-    sizes = np.bincount(at, minlength=len(texts))
-    sums = np.zeros((len(texts), BITS), np.int32)
+    return _signatures(*shingles(texts), len(texts))
+
+
+def _signatures(at: np.ndarray, value: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.bincount(at, minlength=many)
+    sums = np.zeros((many, BITS), np.int32)
     have = np.flatnonzero(sizes)
     edges = np.concatenate(([0], np.cumsum(sizes[have])))
     for i, j in slices(sizes[have].tolist(), 1 << 14):
@@ -82,9 +89,38 @@ def signatures(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.packbits(ones, axis=1).view(np.uint64).reshape(-1, 2)
 
 
-def describe(docs: DataFrame, tables: int) -> DataFrame:
-    """doc_id, digest (128 bits of SHA-256 in hex; null for a null text), size (distinct runs), sig (two longs) and keys (one 60-bit key per table)."""
+def frequent(docs: DataFrame, sample: int = 16_000, least: int = 3, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, rank from 1) of runs that are frequent in a sample of the texts; the rarer ones rank first."""
+    every = max(1, docs.count() // sample)
+
+    def each(batches):
+        for b in portions(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(b.column(0).cast(pa.binary()).to_pylist())[1].view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(every)) == 0).select("text")
+    counts = some.mapInArrow(each, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "h").limit(most).collect()  # `most` numbers
+    hashes = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(found) - order
+
+
+def prefixes(at: np.ndarray, value: np.ndarray, sizes: np.ndarray, share: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(length, runs) of every text's prefix: two texts that are similar enough share a run of their prefixes."""
+    hashes, ranks = common
+    if len(hashes):
+        place = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+        rank = np.where(hashes[place] == value, ranks[place], 0)
+        order = np.lexsort((value, rank, at))
+        at, value = at[order], value[order]
+    lengths = np.where(sizes > 0, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1, 0)
+    return lengths, value[np.arange(len(at)) - (np.cumsum(sizes) - sizes)[at] < lengths[at]]
+
+
+def describe(docs: DataFrame, tables: int, share: float) -> DataFrame:
+    """doc_id, digest (128 bits of SHA-256 in hex; null for a null text), size (distinct runs), sig (two longs), keys (one 60-bit key per table) and prefix (runs)."""
     orders = _orders(tables)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
     weights = np.int64(1) << np.arange(KEY - 1, -1, -1, dtype=np.int64)
 
     def each(batches):
@@ -92,17 +128,20 @@ def describe(docs: DataFrame, tables: int) -> DataFrame:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for i, j in slices([len(t or b"") for t in texts], 1 << 21):
                 part = texts[i:j]
-                sizes, sig = signatures(part)
+                at, value = shingles(part)
+                sizes, sig = _signatures(at, value, len(part))
+                lengths, first = prefixes(at, value, sizes, share, shared.value)
+                ends = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
                 bits = np.unpackbits(sig.view(np.uint8), axis=1)
                 keys = np.stack([bits[:, o].astype(np.int64) @ weights for o in orders], axis=1)
                 digest = [None if t is None else hashlib.sha256(t).hexdigest()[:32] for t in part]
                 step = lambda k: pa.array(np.arange(len(part) + 1, dtype=np.int32) * k)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(digest, pa.string()), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(step(2), pa.array(sig.ravel().view(np.int64))), pa.ListArray.from_arrays(step(tables), pa.array(keys.ravel()))],
-                    ["doc_id", "digest", "size", "sig", "keys"],
+                    [b.column(0).slice(i, j - i), pa.array(digest, pa.string()), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(step(2), pa.array(sig.ravel().view(np.int64))), pa.ListArray.from_arrays(step(tables), pa.array(keys.ravel())), pa.ListArray.from_arrays(ends, pa.array(first.view(np.int64)))],
+                    ["doc_id", "digest", "size", "sig", "keys", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, size bigint, sig array<bigint>, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, size bigint, sig array<bigint>, keys array<bigint>, prefix array<bigint>")
 
 
 def buckets(nodes: DataFrame, bucket: int, tag: str) -> DataFrame:
@@ -174,6 +213,107 @@ def candidates(placed: DataFrame, nodes: DataFrame, distance: int, share: float,
     return rows.mapInArrow(each, "a bigint, b bigint").distinct()
 
 
+def _meeting(h: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, share: float, split: int | None = None):
+    """Pairs a < b, in portions, of equal h and different classes that may be similar enough; rows are sorted by h and size, or with `split` by size in both parts, and pairs are of one row from each."""
+    many = len(h)
+    if split is None:
+        change = np.concatenate((np.flatnonzero(h[1:] != h[:-1]) + 1, [many]))
+        end = np.repeat(change, np.diff(np.concatenate(([0], change))))
+        x, y = np.arange(many), np.arange(1, many + 1)
+    else:
+        x, end = np.arange(split), np.full(split, many)
+        # the first of the other part whose size is large enough
+        y = split + np.searchsorted(size[split:], np.ceil(share * size[:split] - 1e-9))
+    end = end[x]
+    while True:
+        on = y < end
+        x, y, end = x[on], y[on], end[on]
+        # sizes only grow from here
+        on = share * size[y] <= size[x] + 1e-9
+        x, y, end = x[on], y[on], end[on]
+        if not len(x):
+            return
+        # were this the first shared run, no more could be shared than what follows it
+        both = np.minimum(size[x] - at[x], size[y] - at[y])
+        ok = (root[x] != root[y]) & (both * (1 + share) >= share * (size[x] + size[y]) - 1e-9)
+        if ok.any():
+            yield np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
+        y = y + 1
+
+
+def exact(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str) -> DataFrame:
+    """All pairs a < b of different classes that share a run of their prefixes, as far as sizes and places allow the share.
+
+    rows has row and prefix, nodes has node, size and root. A run of more than `cap` texts goes block against block.
+    """
+    spark = nodes.sparkSession
+    some = rows.select(F.col("row").alias("node"), "prefix").join(nodes.select("node", "size", "root"), "node")
+    some = some.select("node", "root", "size", F.posexplode("prefix").alias("at", "h")).select("h", "node", "root", F.col("size").cast("int"), F.col("at").cast("int"))
+    some = some.repartition(partitions(spark), "h").sortWithinPartitions("h", "size", "node")
+    names = ["a", "b", "h", "root", "size", "at", "n"]
+
+    def pairs(found):
+        held, many = [], 0
+        for p in found:
+            held.append(p)
+            many += len(p[0])
+            if many > 50_000:
+                yield from sent(held)
+                held, many = [], 0
+        yield from sent(held)
+
+    def sent(held):
+        if held:
+            a, b = (np.concatenate(c) for c in zip(*held))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 5], names)
+
+    def each(batches):
+        rest = None
+        for b in batches:
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            if rest is not None:
+                cols = [np.concatenate(c) for c in zip(rest, cols)]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            rest = [c[last:] for c in cols]
+            yield from split([c[:last] for c in cols])
+        if rest is not None:
+            yield from split(rest)
+        give_back()
+
+    def split(cols):
+        h = cols[0]
+        if not len(h):
+            return
+        edge = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]))
+        n = np.repeat(np.diff(edge), np.diff(edge))
+        large = n > cap
+        if large.any():
+            h_, node, root, size, at = (c[large] for c in cols)
+            for k in range(0, len(h_), 50_000):
+                s = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(node[s]), pa.nulls(len(node[s]), pa.int64()), *(pa.array(c[s]) for c in (h_, root, size, at, n[large]))], names)
+        small = (n > 1) & ~large
+        if small.any():
+            yield from pairs(_meeting(*(c[small] for c in cols), share))
+
+    met = cut(some.mapInArrow(each, ", ".join(f"{c} bigint" for c in names)), f"{tag}-met")
+    hot = met.where("b is null").withColumn("blocks", F.ceil(F.col("n") / cap).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hot = hot.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("a").alias("node"), "root", "size", "at")
+    hot = hot.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j", "own", "size", "node")
+
+    def blocks(batches):
+        for g in _groups(batches, 3):
+            i, j = g.column(1)[0].as_py(), g.column(2)[0].as_py()
+            h, own, node, root, size, at = (g.column(k).to_numpy() for k in (0, 3, 4, 5, 6, 7))
+            yield from (b.select(["a", "b"]) for b in pairs(_meeting(h, node, root, size, at, share, None if i == j else int(np.searchsorted(own, j)))))
+
+    return met.where("b is not null").select("a", "b").unionByName(hot.mapInArrow(blocks, "a bigint, b bigint")).distinct()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     """The pairs (a, b) whose texts (node, text) are similar enough."""
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
@@ -202,7 +342,7 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 def members(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int = 34, bucket: int = 512, nearest: int = 2, tag: str = "simhash") -> DataFrame:
     """row (a number), doc_id, digest and root (the number of a row of the class) of every row; written."""
     spark = docs.sparkSession
-    rows = cut(describe(docs, tables).withColumn("row", F.monotonically_increasing_id()), f"{tag}-signatures")
+    rows = cut(describe(docs, tables, share).withColumn("row", F.monotonically_increasing_id()), f"{tag}-signatures")
     # equal texts: one node, its first row
     same = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "doc_id", "size", "sig", "keys")).alias("r"))
     nodes = cut(same.select("digest", F.col("r.row").alias("node"), F.col("r.doc_id").alias("id"), F.col("r.size").alias("size"), F.col("r.sig").alias("sig"), F.col("r.keys").alias("keys")), f"{tag}-nodes")
@@ -215,8 +355,9 @@ def members(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int
     release(spark, texts)
     roots = cut(components(links, f"{tag}-components-1"), f"{tag}-roots-1")
     now = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = cut(candidates(placed, now, distance, share, cap, None).join(first, ["a", "b"], "left_anti"), f"{tag}-rest")
-    release(spark, first, placed)
+    release(spark, placed)
+    second = cut(exact(rows, now, share, cap, tag).join(first, ["a", "b"], "left_anti"), f"{tag}-rest")
+    release(spark, first)
     if not second.isEmpty():
         texts = _texts(docs, nodes, second, f"{tag}-texts-2")
         more = cut(verify(second, texts, share), f"{tag}-links-2")

@@ -202,6 +202,21 @@ def test_simhash_hot_group(spark):
     assert {out[i] for i in range(300)} == {0} and all(out[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_simhash_finds_what_the_tables_miss(spark):
+    # a text of 8 words and one word more share 4 of 5 runs; some of their hashes are farther apart than the tables reach
+    rows = [r for k in range(400) for r in ((2 * k, prose(7000 + k, 8)), (2 * k + 1, prose(7000 + k, 8) + " end"))]
+    out = {r["doc_id"]: r["class_id"] for r in simhash.classes(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert out == {i: i - i % 2 for i in range(800)}
+
+
+def test_simhash_is_exact_without_tables_that_reach(spark):
+    base = prose(21, 20).split()
+    rows = families(7) + [(1000 + i, " ".join(base + [f"y{i % 9}", f"z{i}"])) for i in range(60)]
+    for bucket in (1, 512):  # 1: shared runs are compared block against block
+        out = simhash.classes(docs(spark, [(i, t, "en", "a") for i, t in rows]), tables=1, distance=0, bucket=bucket)
+        assert {r["doc_id"]: r["class_id"] for r in out.collect()} == near_classes(rows)
+
+
 def test_simhash_awkward_rows(spark):
     rows = awkward() + [(12, None, "en", "a"), (13, "", "en", "a")]
     out = simhash.classes(docs(spark, rows)).collect()
