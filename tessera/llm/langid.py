@@ -5,8 +5,10 @@ letters read as a space), damped by a logarithm, weighted by inverse document fr
 Document frequencies come from all documents that may be learned from. The centroids of a language come
 from spherical k-means over a sample of at most about `sample` of its documents, chosen by a digest of the
 id. A text takes the language of its nearest centroid. It is rejected where its cosine is below a part
-(`reject`) of the least cosine usual among sample texts of about its length: the distance at which texts
-of known languages are no longer found.
+(`reject`) of the 1% quantile of sample texts of that language and about its length, each held against
+centroids that were clustered without its part of the sample (four folds). A length class with fewer than
+`_NEAR` texts takes in its neighbours; below the shortest sample text the limit falls with the root of the
+number of n-grams. A language whose sample can't be split into folds rejects nothing.
 
 Only the text enters a prediction. Texts are read whole; the model that is broadcast has
 dims x clusters x languages numbers, whatever the number of documents.
@@ -19,6 +21,7 @@ predicted alike; columns other than doc_id, text and lang are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,9 @@ _KEEP = np.full(256, 32, np.uint8)
 _KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _KEEP[128:] = np.arange(128, 256)
 _ROWS = 128
+_FOLDS = 4
+_NEAR = 50
+_CLASSES = 40
 
 
 def gram_counts(texts: list[str], dims: int) -> np.ndarray:
@@ -88,13 +94,31 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def usual(x: np.ndarray, kinds: np.ndarray, fold: np.ndarray, clusters: int) -> np.ndarray:
+    """Low quantile, by length class, of the cosines of rows with centroids of the other folds."""
+    top = np.full(len(x), np.nan)
+    for f in range(_FOLDS):
+        out = fold == f
+        if out.any() and not out.all():
+            top[out] = np.max(x[out] @ cluster(x[~out], max(1, min(clusters, int((~out).sum()) // 8))).T, axis=1)
+    top, kinds = top[~np.isnan(top)], kinds[~np.isnan(top)]
+    if not len(top):
+        return np.zeros(_CLASSES)
+    lows = np.zeros(_CLASSES)
+    for k in range(_CLASSES):
+        away = np.abs(kinds - max(k, kinds.min()))
+        near = away <= np.sort(away)[min(_NEAR, len(away)) - 1]
+        lows[k] = np.quantile(top[near], 0.01) * 2.0 ** (-max(0, kinds.min() - k) / 2)
+    return lows
+
+
 @dataclass
 class Model:
     langs: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # row per centroid
     owner: np.ndarray  # index into langs
-    radius: np.ndarray  # least cosine accepted, by length class
+    radius: np.ndarray  # least cosine accepted, by language and length class
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
         """(language, score, rejected) of texts that have a letter."""
@@ -109,11 +133,11 @@ class Model:
             top = np.round(np.clip(cos[np.arange(len(cos)), best], 0, 1).astype(float), 6)
             langs += [self.langs[self.owner[b]] for b in best]
             scores += [float(s) for s in top]
-            rejected += [bool(r) for r in top < self.radius[np.minimum(_length_class(counts), len(self.radius) - 1)]]
+            rejected += [bool(r) for r in top < self.radius[self.owner[best], np.minimum(_length_class(counts), _CLASSES - 1)]]
         return langs, scores, rejected
 
 
-def fit(docs: DataFrame, dims: int = 4096, clusters: int = 4, sample: int = 600, reject: float = 0.3, tag: str = "langid") -> Model | None:
+def fit(docs: DataFrame, dims: int = 4096, clusters: int = 4, sample: int = 600, reject: float = 0.8, tag: str = "langid") -> Model | None:
     """Learn from the rows of docs (text, lang, doc_id), those with a language and a letter; None if there are none."""
     known = docs.where("lang is not null and text is not null")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -150,9 +174,9 @@ def fit(docs: DataFrame, dims: int = 4096, clusters: int = 4, sample: int = 600,
         counts = np.stack([np.frombuffer(c, np.float32) for c in table.column("counts").to_pylist()])
         x = unit(counts, idf)
         c = cluster(x, max(1, min(clusters, len(x) // 8)))
-        top = np.max(x @ c.T, axis=1)
-        kinds = _length_class(counts)
-        lows = [float(np.quantile(top[kinds == k], 0.01)) if (kinds == k).any() else 2.0 for k in range(40)]
+        # equal texts are in one fold
+        fold = np.array([zlib.crc32(row.tobytes()) % _FOLDS for row in counts])
+        lows = usual(x, _length_class(counts), fold, clusters).tolist()
         return pa.table({"lang": [key[0].as_py()], "centroids": [c.astype(np.float32).tobytes()], "lows": [lows]})
 
     learned = found.where("lang is not null").select("lang", "counts").groupBy("lang").applyInArrow(group, "lang string, centroids binary, lows array<double>")
@@ -160,12 +184,7 @@ def fit(docs: DataFrame, dims: int = 4096, clusters: int = 4, sample: int = 600,
     if not models:
         return None
     each = [np.frombuffer(m["centroids"], np.float32).reshape(-1, dims) for m in models]
-    lows = np.min([m["lows"] for m in models], axis=0)
-    # the shorter the text, the lower its cosines: a class without samples takes the next shorter one's
-    for k in range(1, len(lows)):
-        if lows[k] > 1:
-            lows[k] = lows[k - 1] if lows[k - 1] <= 1 else 0.0
-    radius = reject * np.minimum.accumulate(np.where(lows > 1, 0.0, lows)[::-1])[::-1]
+    radius = reject * np.array([m["lows"] for m in models])
     return Model([m["lang"] for m in models], idf, np.concatenate(each), np.repeat(np.arange(len(models)), [len(e) for e in each]), radius)
 
 
