@@ -6,63 +6,91 @@ executors share; a lost executor then costs a re-read, never a recomputation tha
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+import threading
+import weakref
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..tables import new_path as _new_path
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the setting is absent (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if not named:
-        named = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return f"{named.rstrip('/')}/tessera-{app}"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """A path of its own in the shared folder."""
+    return _new_path(spark, tag)
+
+
+# While tables are written: texts are long, so Arrow batches are small and bounded in bytes, and the shuffle
+# files of a write go as soon as it is done, not when the driver happens to collect garbage.
+_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+_lock = threading.Lock()
+_open: dict[str, list] = {}
+
+
+@contextmanager
+def _settings(spark: SparkSession):
+    """Settings of a write, taken back after the last of the session's writes that overlap; what the user set stays."""
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        held = _open.setdefault(session, [0, {}])
+        held[0] += 1
+        if held[0] == 1:
+            for k, v in _WRITING.items():
+                before = spark.conf.get(k, None)
+                if not (k.endswith("maxRecordsPerBatch") and before not in (None, "10000")):
+                    held[1][k] = before
+                    spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                for k, v in _open.pop(session)[1].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: ends the lineage, fixes row placement.
-
-    The shuffle files of the write go as soon as it is done, not when the driver happens to collect garbage.
-    Where the session still has Spark's own Arrow batch of 10,000 rows, it is set to 2,000: texts are long.
-    """
+    """Write df as a table in the shared folder and read it back: ends the lineage, fixes row placement."""
     spark = df.sparkSession
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "2000")
     path = new_path(spark, tag)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _settings(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    _paths[out] = path
     return out
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables made by cut() that nothing needs any more, and let Spark drop finished shuffle files."""
+    """Delete tables made by cut() that nothing needs any more."""
     jvm = spark.sparkContext._jvm
     for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop(t))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that are taken (whatever their case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def exactly(name: str) -> Column:
+    """The column of that name, dots and back-ticks in it included."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -80,11 +108,14 @@ def ordered_offsets(df: DataFrame, order: list, group: list[str], value: str, ou
     Rows are range-partitioned by (group, order), so a hot group spreads over many tasks; sums inside a
     partition and the (few) totals by partition and group are added up. The table is written once between
     the two so that the partition of a row is a fact, not something recomputed. The order must be total, but
-    for rows that are equal in every column. facts, one row per group, are joined to the totals and so reach
+    for rows that are equal in every column; these are told apart by a number of their own, so that any number
+    of them spreads as well. facts, one row per group, are joined to the totals and so reach
     the rows by (partition, group), which no hot group can crowd.
     """
+    order = [*order, F.col("_row")]
     keys = [F.col(c).asc_nulls_last() for c in group] + order
-    placed = cut(df.repartitionByRange(partitions(df.sparkSession), *keys).withColumn("_pid", F.spark_partition_id()), tag)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    placed = cut(numbered.repartitionByRange(partitions(df.sparkSession), *keys).withColumn("_pid", F.spark_partition_id()), tag)
     inside = W.partitionBy("_pid", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy(*(group or [F.lit(0)])).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy("_pid", *group).agg(F.sum(value).alias("_total"))
@@ -100,7 +131,7 @@ def ordered_offsets(df: DataFrame, order: list, group: list[str], value: str, ou
     for c in group:
         here = here & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
     ran = placed.withColumn(out, F.sum(value).over(inside) - F.col(value))
-    return ran.join(totals, here, "left").withColumn(out, F.col(out) + F.col("_before")).drop("_pid", "_at", "_before", *(f"_g_{c}" for c in group))
+    return ran.join(totals, here, "left").withColumn(out, F.col(out) + F.col("_before")).drop("_row", "_pid", "_at", "_before", *(f"_g_{c}" for c in group))
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

@@ -114,14 +114,15 @@ def slices(sizes: list[int], most: int):
         yield i, len(sizes)
 
 
-def portions(batches, rows: int = 500):
-    """The batches in slices of a few hundred rows, so that their Python objects never exist for a whole batch at once.
+def portions(batches, rows: int = 500, size: int = 4 << 20):
+    """The batches in slices of a few hundred rows and about `size` bytes, so that their Python objects never exist for a whole batch at once.
 
     At the end the worker gives back the memory it no longer uses: Spark keeps idle workers alive.
     """
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
     give_back()
 
 
