@@ -43,16 +43,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, bool], object] = {}
 
 
-def encoder(path: str):
-    """text -> list of ids for a byte-level BPE file of the tokenizers library.
+def encoder(path: str, special_as_text: bool = False):
+    """text -> list of ids for a file of the tokenizers library, the ids that encode() gives without special tokens added.
 
-    Where the vocabulary's ids are the ranks of its merges, the same ids come several times faster from
-    tiktoken; texts beyond LONG_TEXT characters and other vocabularies go through tokenizers itself.
+    The name of an added token (such as <|endoftext|>) in a text becomes that token, as encode() has it, unless
+    special_as_text is set. Where the vocabulary's ids are the ranks of its merges, the same ids come several
+    times faster from tiktoken; texts that name an added token, texts beyond LONG_TEXT characters and other
+    vocabularies go through tokenizers itself.
     """
-    if path not in _encoders:
+    if (path, special_as_text) not in _encoders:
         own: list = []
 
         def slow(text: str) -> list[int]:
@@ -60,7 +62,7 @@ def encoder(path: str):
                 from tokenizers import Tokenizer
 
                 own.append(Tokenizer.from_file(path))
-                own[0].encode_special_tokens = True
+                own[0].encode_special_tokens = special_as_text
             return own[0].encode(text, add_special_tokens=False).ids
 
         fast = None
@@ -70,13 +72,16 @@ def encoder(path: str):
         vocab = {k: v for k, v in model["model"].get("vocab", {}).items() if k not in special}
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["model"].get("merges", [])]
         ranked = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
-        if ranked and len(vocab) == 256 + len(merges) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and model.get("normalizer") is None:
+        bytewise = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        if ranked and len(vocab) == 256 + len(merges) and bytewise and model.get("normalizer") is None:
             import tiktoken
 
             letters = _byte_letters()
             fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(letters[c] for c in k): v for k, v in vocab.items()}, special_tokens={}).encode_ordinary
-        _encoders[path] = (lambda t: fast(t) if len(t) <= LONG_TEXT else slow(t)) if fast else slow
-    return _encoders[path]
+        named = () if special_as_text else tuple(special)
+        plain = lambda t: len(t) <= LONG_TEXT and not any(s in t for s in named)
+        _encoders[path, special_as_text] = (lambda t: fast(t) if plain(t) else slow(t)) if fast else slow
+    return _encoders[path, special_as_text]
 
 
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
