@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, held_out
 from .textops import portions, slices
 
-LETTER = re.compile(r"[^\W\d_]")
+_SIGN = re.compile(r"[^\W\d_]")
 GRAMS = (2, 3, 4)
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -43,6 +43,11 @@ _NEAR = 50
 _CLASSES = 40
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a letter category; number signs such as ½, ² or Ⅷ are none."""
+    return any(m.group().isalpha() for m in _SIGN.finditer(text or ""))
+
+
 def gram_counts(texts: list[str], dims: int) -> np.ndarray:
     """Counts of hashed byte n-grams, one row per text. Grams of spaces alone don't count."""
     out = np.zeros((len(texts), dims), np.float32)
@@ -153,7 +158,7 @@ def fit(docs: DataFrame, dims: int = 4096, clusters: int = 4, sample: int = 600,
         for b in portions(batches):
             texts = [t or "" for t in b.column(0).to_pylist()]
             langs, chosen = b.column(1).to_pylist(), b.column(2).to_pylist()
-            good = [i for i, t in enumerate(texts) if LETTER.search(t)]
+            good = [i for i, t in enumerate(texts) if has_letter(t)]
             for at in range(0, len(good), _ROWS):
                 take = good[at : at + _ROWS]
                 counts = gram_counts([texts[i] for i in take], dims)
@@ -198,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = b.column(1).to_pylist()
             n = len(texts)
             langs, scores, rejected = ["und"] * n, [0.0] * n, [True] * n
-            good = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m else []
+            good = [i for i, t in enumerate(texts) if has_letter(t)] if m else []
             for i, *r in zip(good, *m.predict([texts[i] for i in good])) if good else ():
                 langs[i], scores[i], rejected[i] = r
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
@@ -223,7 +228,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         for b in portions(batches):
             texts = b.column(at).to_pylist()
-            good = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            good = [i for i, t in enumerate(texts) if has_letter(t)]
             rejected = m.predict([texts[i] for i in good])[2] if good else []
             yield b.take(pa.array([i for i, r in zip(good, rejected) if not r], pa.int64()))
 
