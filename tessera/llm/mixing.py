@@ -13,7 +13,8 @@ third of all rows costs as much as the same rows in many sources.
 
 Defined cases: a null text has size 0; null is a source of its own, ordered last; a source without words
 has target 0; documents of size 0 take nothing and have a null position; rows with equal doc_id count one by
-one, in an order that equals leave open between them; columns other than doc_id, source and text are ignored.
+one, ordered by their texts; rows equal in id, source and text may change places, which changes no result;
+columns other than doc_id, source and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ordered_offsets, partitions
+from .common import cut, exactly, free_names, ordered_offsets, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,14 +82,14 @@ def mix(docs: DataFrame, schedule: Callable[[Column], Column] = ramp, repeats: f
     taken) and copies: array of (copy, words, position). schedule maps a source's rank to its points, at least
     two, (t, w) from t = 0 to t = 1; budget defaults to the sum of all sizes.
     """
-    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"), *carry), f"{tag}-sizes")
+    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"), F.xxhash64("text").alias("_t"), *map(exactly, carry)), f"{tag}-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_one", F.lit(1).cast("long"))
     ranked = ordered_offsets(sources, [F.col("source").asc_nulls_last()], [], "_one", "_rank", f"{tag}-sources")
     ranked = ranked.withColumn("_curve", _integral(schedule(F.col("_rank")))).withColumn("weight", F.col("_curve.area"))
     ranked = cut(ranked.select("source", "source_size", "weight", F.col("_curve.out").alias("_curve")), f"{tag}-weights")
     total = budget if budget is not None else (ranked.agg(F.sum("source_size")).first()[0] or 0)
     facts = source_targets(ranked, float(total), repeats).withColumn("_take", F.floor(F.col("target") + 0.5).cast("long"))
-    placed = ordered_offsets(sized, [F.col("_h"), F.col("doc_id")], ["source"], "size", "_start", f"{tag}-order", facts)
+    placed = ordered_offsets(sized, [F.col("_h"), F.col("doc_id"), F.col("_t"), F.col("size")], ["source"], "size", "_start", f"{tag}-order", facts)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("_take") / F.col("source_size"))).otherwise(0).cast("long")
 
     def copy(k: Column) -> Column:
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, schedule: Callable[[Column], Column] = ramp, repeats: f
     copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), whole), copy), lambda c: c["words"] > 0)
     out = placed.withColumn("copies", F.when((F.col("size") > 0) & (F.col("_take") > 0), copies).otherwise(F.array().cast("array<struct<copy:int,words:bigint,position:double>>")))
     out = out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).withColumn("position", F.get("copies", F.lit(0))["position"])
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "copies", *carry)
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "copies", *map(exactly, carry))
     return out.repartitionByRange(partitions(docs.sparkSession), F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -119,19 +120,23 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     A last copy that the mix takes in part has the first words of the text, joined by one space; n_chars, if
     there, follows. Rows that repeat id, source and text give the copies of all of them, with one's columns.
     """
+    own, _id, _source, _d, _size, _copy, _words, _position = free_names(docs.columns, "mix_text", "mix_id", "mix_source", "mix_digest", "mix_size", "mix_copy", "mix_words", "mix_position")
     digest = F.sha2("text", 256)
-    keyed = docs.withColumn("_digest", digest)
-    mixed = mix(keyed, carry=("_digest",), **settings).where("taken > 0")
-    flat = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_digest").alias("_d"), F.col("size").alias("_size"), F.inline("copies").alias("_copy", "_words", "_position"))
+    mixed = mix(docs.select("doc_id", "source", "text", digest.alias(own)), carry=(own,), **settings).where("taken > 0")
+    flat = mixed.select(F.col("doc_id").alias(_id), F.col("source").alias(_source), F.col(own).alias(_d), F.col("size").alias(_size), F.inline("copies").alias(_copy, _words, _position))
     flat = cut(flat, "mix-copies")
-    many = flat.where("_copy = 0").groupBy("_id", "_source", "_d").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    many = flat.where(F.col(_copy) == 0).groupBy(_id, _source, _d).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    keyed = docs.withColumn(own, digest)
     if not many.isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "source", "_digest"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_digest") == F.col("_d"))
+        keyed = keyed.dropDuplicates(["doc_id", "source", own])
+    same = F.col("doc_id").eqNullSafe(F.col(_id)) & F.col("source").eqNullSafe(F.col(_source)) & (F.col(own) == F.col(_d))
     rows = keyed.join(flat, same)
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col(_words).cast("int")), " ")
+    short = F.col(_words) < F.col(_size)
+    new = {"text": F.when(short, part).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "_position", "doc_id").sortWithinPartitions("_position", "doc_id")
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(short, F.length(part).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    # doc_id and place are the sort keys before the columns of docs alone are left
+    rows = rows.select(*(new[c].alias(c) if c in new else exactly(c) for c in docs.columns), _position)
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), _position, "doc_id").sortWithinPartitions(_position, "doc_id")
+    return rows.select(*map(exactly, docs.columns))
