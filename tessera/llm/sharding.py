@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 
 BITS = 60
 
@@ -66,7 +66,11 @@ def shard(docs: DataFrame, limit: int, tag: str = "shards") -> DataFrame:
 
 
 def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """Write docs with all their columns, one Parquet folder per shard. Rows that repeat id and text go where the first does, beyond the limit if they must."""
-    at = shard(docs, limit).where("copy = 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), F.format_string("%d-%d", "shard_depth", "shard_prefix").alias("shard"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.md5("text").eqNullSafe(F.col("_d"))
-    docs.join(at, same).drop("_id", "_d").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs with all their columns, one Parquet folder per shard. Rows that repeat id and text go where the first does, beyond the limit if they must.
+
+    The column that names the shard is `shard`, with underscores before it if docs has one of that name.
+    """
+    own_id, own_digest, name = free_names(docs.columns, "shard_id", "shard_digest", "shard")
+    at = shard(docs, limit).where("copy = 1").select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest), F.format_string("%d-%d", "shard_depth", "shard_prefix").alias(name))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.md5("text").eqNullSafe(F.col(own_digest))
+    docs.join(at, same).drop(own_id, own_digest).repartition(name).write.partitionBy(name).parquet(path)

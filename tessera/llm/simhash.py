@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, release
+from .common import components, cut, free_names, partitions, release
 from .embeddings import _groups
 from .textops import give_back, inside, mix, portions, runs, slices, words
 
@@ -382,17 +382,18 @@ def classes(docs: DataFrame, **settings) -> DataFrame:
 def survivors(docs: DataFrame, **settings) -> DataFrame:
     """docs with one row of each class, the one with the smallest doc_id (null last), and all its columns."""
     every = members(docs, **settings)
+    own, id_, digest, again = free_names(docs.columns, "class_text", "class_doc", "class_digest", "class_again")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "digest")).alias("w")
-    winners = every.groupBy("root").agg(first).select(F.col("w.doc_id").alias("_id"), F.col("w.digest").alias("_w"))
+    winners = every.groupBy("root").agg(first).select(F.col("w.doc_id").alias("doc_id"), F.col("w.digest").alias("digest")).distinct()
     # rows that repeat an id and its text count as one
-    again = every.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    winners = winners.distinct().join(again.withColumnsRenamed({"doc_id": "_id2", "digest": "_w2"}), F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_w").eqNullSafe(F.col("_w2")), "left").drop("_id2", "_w2")
-    winners = cut(winners.withColumn("_again", F.col("_k").isNotNull() & F.col("_w").isNotNull()).drop("_k"), "simhash-winners")
-    kept = docs.withColumn("_d", text_digest()).join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_d").eqNullSafe(F.col("_w")))
-    out = kept.where("not _again")
-    if not winners.where("_again").isEmpty():
-        out = out.unionByName(kept.where("_again").dropDuplicates(["_id", "_w"]))
-    return out.drop("_d", "_id", "_w", "_again")
+    repeated = every.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d"), F.lit(True).alias("_k"))
+    winners = winners.join(repeated, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("digest").eqNullSafe(F.col("_d")), "left")
+    winners = cut(winners.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), (F.col("_k").isNotNull() & F.col("digest").isNotNull()).alias(again)), "simhash-winners")
+    kept = docs.withColumn(own, text_digest()).join(winners, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(own).eqNullSafe(F.col(digest)))
+    out = kept.where(~F.col(again))
+    if not winners.where(again).isEmpty():
+        out = out.unionByName(kept.where(again).dropDuplicates([id_, digest]))
+    return out.drop(own, id_, digest, again)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
