@@ -159,35 +159,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, near: int = 7,
     live = lists.join(sizes, ["label", "dim", "code"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", at)
     # every pair of blocks is a task: rows of block k go to (i, k) for i <= k and to (k, j) for j > k
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.select("node", F.xxhash64("label", "dim").alias("group"), "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    live = live.select("node", "label", "dim", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     live = live.join(described.select("node", "embedding", "mult", "codes"), "node")
-    live = live.select("group", "code", "i", "j", "own", "node", "mult", "codes", "embedding")
-    live = live.repartition(partitions(spark), "group", "code", "i", "j").sortWithinPartitions("group", "code", "i", "j", "own", "node")
+    live = live.select("label", "dim", "code", "i", "j", "own", "node", "mult", "codes", "embedding")
+    live = live.repartition(partitions(spark), "label", "dim", "code", "i", "j").sortWithinPartitions("label", "dim", "code", "i", "j", "own", "node")
 
     def compare(batches):
         sums: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
-        for g in _groups(batches, 4):
+        for g in _groups(batches, 5):
             if g.num_rows < 2:
                 continue
             g = g.combine_chunks()
-            code, i, j = g.column(1)[0].as_py(), g.column(2)[0].as_py(), g.column(3)[0].as_py()
-            u = _unit(_matrix(g.column(8).combine_chunks()))
-            own = g.column(4).to_numpy()
+            code, i, j = (g.column(k)[0].as_py() for k in (2, 3, 4))
+            u = _unit(_matrix(g.column(9).combine_chunks()))
+            own = g.column(5).to_numpy()
             split = len(own) if i == j else int(np.searchsorted(own, j))
             hits = np.argwhere(u[:split] @ u[split if i != j else 0 :].T >= threshold)
             a, b = hits[:, 0], hits[:, 1] + (split if i != j else 0)
             a, b = a[a < b], b[a < b]
             if not len(a):
                 continue
-            codes = _matrix(g.column(7).combine_chunks(), np.int64)
+            codes = _matrix(g.column(8).combine_chunks(), np.int64)
             # codes smaller than this one that both have: the pair counts there
             first = np.ones(len(a), bool)
             for c in range(codes.shape[1]):
                 mine = codes[a, c]
                 first &= ~((mine < code) & (codes[b] == mine[:, None]).any(axis=1))
             a, b = a[first], b[first]
-            node, mult = g.column(5).to_numpy(), g.column(6).to_numpy()
+            node, mult = g.column(6).to_numpy(), g.column(7).to_numpy()
             count = np.bincount(a, weights=mult[b], minlength=len(node)) + np.bincount(b, weights=mult[a], minlength=len(node))
             for k in np.flatnonzero(count):
                 sums[int(node[k])] = sums.get(int(node[k]), 0) + int(count[k])
