@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import awkward, docs, prose, words
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, sharding
 
@@ -150,8 +151,7 @@ def test_pack_awkward_rows(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(TOKENS)
-    own.encode_special_tokens = True
-    rows = awkward()
+    rows = awkward() + [(20, "hello <|endoftext|> world", "en", "a"), (21, "<|endoftext|>" * 100, "en", "a")]
     out = packing.pack_documents(docs(spark, rows), TOKENS, capacity=64, with_ids=True).collect()
     want = Counter()
     for i, t, _, _ in rows:
@@ -177,12 +177,81 @@ def test_pack_awkward_rows(spark):
     assert packing.pack_documents(docs(spark, []), TOKENS).count() == 0
 
 
-def test_fast_ids_are_the_tokenizers_ids():
+@pytest.mark.parametrize("as_text", [False, True])
+def test_fast_ids_are_the_tokenizers_ids(as_text):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(TOKENS)
-    own.encode_special_tokens = True
-    encode = packing.encoder(TOKENS)
+    if as_text:
+        own.encode_special_tokens = True
+    encode = packing.encoder(TOKENS, as_text)
     rng = random.Random(0)
-    for text in ["", "   ", "<|endoftext|> a", "a" * 5000, "it's we'll I'M", "\n\n \t x  y", "漢字 émoji 🎉🎉", *("".join(chr(rng.choice([32, 10, 97, 233, 0x4E00, 49, 36])) for _ in range(300)) for _ in range(50))]:
+    for text in ["", "   ", "<|endoftext|> a", "hello <|endoftext|> world", "<|endoftext|", "a" * 5000, "it's we'll I'M", "\n\n \t x  y", "漢字 émoji 🎉🎉", *("".join(chr(rng.choice([32, 10, 97, 233, 0x4E00, 49, 36])) for _ in range(300)) for _ in range(50))]:
         assert list(encode(text)) == own.encode(text, add_special_tokens=False).ids
+
+
+def test_the_packing_query_equals_sequential_best_fit(spark):
+    """Pieces as an unmodified tokenizer and a plain loop give them; sequences are as many and as full as by best-fit decreasing one by one."""
+    from helpers import DATA
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import op10_best_fit_packing
+
+    own = Tokenizer.from_file(TOKENS)
+    want, sizes = Counter(), []
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        ids = [*own.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        at, k = 0, 0
+        while at < len(ids):
+            n = (len(ids) % 1024 or 1024) if k == 0 and len(ids) > 1024 else min(1024, len(ids))
+            want[r["doc_id"], k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
+            sizes.append(n)
+            at, k = at + n, k + 1
+    out = op10_best_fit_packing(spark, DATA).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    bins: list[list[int]] = []
+    for s in sorted(sizes, reverse=True):
+        fits = [b for b in bins if sum(b) + s <= 1024]
+        if fits:
+            max(fits, key=sum).append(s)
+        else:
+            bins.append([s])
+    got = {}
+    for r in out:
+        got.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in got.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+    # among equal gaps either may be taken: contents may differ, fill levels can't
+    assert Counter(sum(n for _, n in p) for p in got.values()) == Counter(map(sum, bins))
+
+
+def test_mix_agrees_on_rows_that_share_an_id(spark):
+    rng = random.Random(11)
+    rows = [(None if i % 3 else 5, prose(i % 150, rng.randrange(1, 30)), "en", None if i % 2 else "a") for i in range(600)]
+    frame = docs(spark, rows)
+    names = ("doc_id", "source", "size", "target", "taken", "position")
+    a = Counter(map(tuple, mixing.mix(frame).select(*names).collect()))
+    b = Counter(map(tuple, mixing.mix(frame.repartition(7)).select(*names).collect()))
+    assert a == b
+
+
+def test_clashing_names(spark, tmp_path):
+    """Columns of any name pass through: those that operators use inside, in upper case, with a dot."""
+    from tessera.llm import simhash, substrings
+
+    shared = prose(90, 30)
+    rows = [(i, f"{prose(i, 40)} {shared} {prose(50 + i, 40)}", "en", "ab"[i % 2]) for i in range(12)] + [(30, prose(1, 40), "en", "a")] * 2
+    frame = docs(spark, rows)
+    for name in ("_id", "_d", "_w", "_h", "_k", "_t", "_row", "_pid", "_source", "_copy", "_words", "_position", "_SIZE", "class_doc", "mix_id", "window_key", "shard", "shard_id", "a.b", "key", "alive", "root", "digest"):
+        frame = frame.withColumn(name, F.lit(name))
+    for out in (substrings.rewrite(frame), simhash.survivors(frame), mixing.mixed_documents(frame)):
+        got = out.collect()
+        assert out.columns == frame.columns and got
+        assert all(r["_id"] == "_id" and r["a.b"] == "a.b" and r["_SIZE"] == "_SIZE" and r["shard"] == "shard" for r in got)
+    sharding.write_shards(frame, 500, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(rows) and back.where("shard = 'shard'").count() == len(rows) and back.select("_shard").distinct().count() > 1
+    sharding.write_shards(docs(spark, []), 500, str(tmp_path / "empty"))
