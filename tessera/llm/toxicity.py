@@ -1,17 +1,19 @@
 """Toxicity by noisy-channel deobfuscation: restore the text, then score it.
 
-Suspect stretches (leetspeak inside a word, letters spelt out with separators, letters repeated three times
-or more) become character lattices: every written character has the letters that it may stand for, a run
+Suspect stretches (tokens that mix letters with signs that stand for letters, at their ends too, letters spelt
+out with separators, letters repeated three times or more) become character lattices: every written character has the letters that it may stand for, a run
 may stand for one letter or two, a separator for itself or for nothing, each with its channel probability.
 Viterbi decoding finds the likeliest reading under an interpolated trigram model of characters, which is
 counted over the texts of all documents. Everything else reads as written.
 
-Evidence is words and word beginnings of the written and the restored text. A logistic regression with
-weights of 0 or more sums it up; and a word that nearly only toxic rows have is enough by itself: the score
-is the larger of the regression's and the highest precision of a piece of evidence, which is shrunk towards
-the share of toxic rows by SHRINK rows. Both are fitted on about `sample` labelled rows of each class at most, chosen by a digest
-of the id; candidates are those seen in enough toxic rows, and a bounded number of them is kept. Only the
-text enters a score. Texts are read whole.
+Evidence is words and word beginnings of the written and the restored text, and beginnings that many different
+words of the text have (MANY, and one in SPARSE of its words). A logistic regression with weights of 0 or more
+sums it up; and a word that nearly only toxic rows have is enough by itself: the score is the larger of the
+regression's and the highest precision of a piece of evidence, which is shrunk towards the share of toxic rows
+by SHRINK rows. Both are fitted on about `sample` labelled rows of each class at most, chosen by a digest of the
+id. Toxic and clean rows are counted and compared as tables; of the `keep` best pieces of evidence those make the
+model that explain rows of their own or have a precision of SURE.
+Only the text enters a score. Texts are read whole.
 
 Defined cases: a null or empty text scores as one without evidence; with no label to learn from every score
 is 0; labels that are null or neither 0 nor 1 are ignored, and of several labels of one id the largest
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,14 +38,20 @@ from .textops import portions
 LETTERS = re.compile(r"[^\W\d_]+")
 _LEET = "0-9@$!|+*€"
 _CORE = re.compile(rf"[^\W\d_][{_LEET}]{{1,3}}[^\W\d_]")
-_LEAD = re.compile(rf"(?<=\s)[013457@$!]{{1,2}}[^\W\d_]{{2}}")
+# at an end a sign may also be punctuation or a number: one or two of those that seldom are
+_LEAD = re.compile(r"(?<![^\s(\[{'\",.:;])[0-9@$!|+€]{1,2}[^\W\d_]{2}")
+_TAIL = re.compile(r"[^\W\d_][0-9@$+€]{1,2}(?=[.,;:!?\"')\]}#%&]*\s)")
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_SPELT = re.compile(r"(?<![^\W_])[^\W\d_0](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
+_BETWEEN = " .-_*/~,:;=\\"
+_SPELT = re.compile(r"(?<![^\W_])[^\W_](?:(?: {1,3}|[.\-_*/~,:;=\\])[^\W_]){2,}(?![^\W_])")
 _EDGE = ".,;:!?\"'()[]{}<>#%&*$|"
+_LEFT = ".,;:?\"'()[]{}<>#%&*"
 CHANNEL = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 _SYMBOLS = 64
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+MANY, SPARSE = 3, 100
 SHRINK = 6
+SURE = 0.9
 
 _TABLE = np.zeros(0x250, np.int64)
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz", 1):
@@ -78,7 +87,7 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     out: list[list[tuple[str, float]]] = []
     for m in re.finditer(r"(.)\1*", stretch, re.S):
         run, c = m.group(0), m.group(1)
-        if spelt and c in " .-_*":
+        if spelt and c in _BETWEEN:
             out.append([("", math.log(0.7)), (" ", math.log(0.3))])
             continue
         if c == "*":
@@ -128,18 +137,18 @@ def suspects(text: str) -> set[str]:
             i -= 1
         while not padded[j].isspace():
             j += 1
-        core = padded[i:j].strip(_EDGE) if padded[i] not in "!$|" else padded[i:j].rstrip(_EDGE)
+        core = padded[i:j].rstrip(_EDGE.replace("$", "")).lstrip(_LEFT)
         if core:
             out.add(core)
 
-    for pattern in (_CORE, _LEAD, _RUN):
+    for pattern in (_CORE, _LEAD, _TAIL, _RUN):
         at = 0
         while m := pattern.search(padded, at):
             token(m.start() if not padded[m.start()].isspace() else m.start() + 1)
             at = m.end()
             while not padded[at - 1].isspace() and at < len(padded) and not padded[at].isspace():
                 at += 1
-    out.update(m.group(0) for m in _SPELT.finditer(text))
+    out.update(m.group(0) for m in _SPELT.finditer(text) if sum(c.isalpha() for c in m.group(0)) > 1)
     return out
 
 
@@ -165,8 +174,11 @@ class Reader:
         return words
 
 
-def features(word: str) -> list[str]:
-    return ["=" + word, *(word[:k] for k in PREFIXES if len(word) > k)]
+def features(words: set[str]) -> set[str]:
+    """Evidence in the words of a text: each word, its beginnings, and beginnings that many of the words have."""
+    begin = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
+    most = max(MANY, len(words) / SPARSE)
+    return {"=" + w for w in words} | begin.keys() | {p + "+" for p, n in begin.items() if n >= most}
 
 
 @dataclass
@@ -176,7 +188,7 @@ class Scorer:
     precision: dict[str, float]
     bias: float
     reader: Reader | None = field(default=None, repr=False)
-    seen: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    seen: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = field(default_factory=dict, repr=False)
 
     def evidence(self, text: str) -> set[str]:
         """Weighted features of a text."""
@@ -185,12 +197,19 @@ class Scorer:
         seen, weights = self.seen, self.weights
         if len(seen) > 100_000:
             seen.clear()
-        for w in self.reader.words(text):
+        words = self.reader.words(text)
+        begin: dict[str, int] = {}
+        for w in words:
             f = seen.get(w)
             if f is None:
-                f = seen[w] = tuple(x for x in features(w) if x in weights)
-            if f:
-                found.update(f)
+                starts = [w[:k] for k in PREFIXES if len(w) > k]
+                f = seen[w] = (tuple(x for x in ("=" + w, *starts) if x in weights), tuple(p for p in starts if p + "+" in weights))
+            if f[0]:
+                found.update(f[0])
+            for p in f[1]:
+                begin[p] = begin.get(p, 0) + 1
+        most = max(MANY, len(words) / SPARSE)
+        found.update(p + "+" for p, n in begin.items() if n >= most)
         return found
 
     def score(self, text: str | None) -> float:
@@ -260,7 +279,7 @@ def _model_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_rows: int = 5, candidates: int = 20_000, keep: int = 3_000, tag: str = "toxicity") -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_rows: int = 5, keep: int = 3_000, tag: str = "toxicity") -> Scorer | None:
     """Learn from labels (doc_id, toxic), only those whose id isn't held out; the language model reads all docs."""
     spark = docs.sparkSession
     lm = language_model(_model_counts(docs))
@@ -275,15 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_rows: int
         return Scorer(lm, {}, {}, -10.0 if sizes.get(0) else 0.0) if sizes else None
     shared_lm = spark.sparkContext.broadcast(lm)
 
-    def count(wanted: int, only: set[str] | None):
+    def count(wanted: int) -> DataFrame:
+        """Rows of a class by piece of evidence: f, n."""
+
         def each(batches):
             reader, n = Reader(shared_lm.value), {}
             for b in portions(batches):
                 for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if toxic == wanted:
-                        for f in {f for w in reader.words(text) for f in features(w)}:
-                            if only is None or f in only:
-                                n[f] = n.get(f, 0) + 1
+                        for f in features(reader.words(text)):
+                            n[f] = n.get(f, 0) + 1
                         if len(n) > 200_000:  # sums are added up later; memory stays bounded
                             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
                             n = {}
@@ -291,34 +311,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_rows: int
 
         return rows.mapInArrow(each, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
 
-    toxic = {r["f"]: r["n"] for r in count(1, None).where(F.col("n") >= min_rows).orderBy(F.desc("n"), "f").limit(candidates).collect()}
-    clean = {r["f"]: r["n"] for r in count(0, set(toxic)).collect()}
     n1 = max(1, min(sizes[1], sample))
     n0 = max(1, min(sizes[0], sample))
-
-    def gain(f: str) -> float:
-        a, b = toxic[f], clean.get(f, 0)
-        p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        return a * math.log(p / q) if p > 4 * q else 0.0
-
-    names = sorted((f for f in toxic if gain(f) > 0), key=lambda f: (-gain(f), -len(f), f))[:keep]
+    both = count(1).where(F.col("n") >= min_rows).withColumnRenamed("n", "a").join(count(0).withColumnRenamed("n", "b"), "f", "left").withColumn("b", F.coalesce("b", F.lit(0)))
+    p, q = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
+    best = both.where(p > 4 * q).orderBy(F.desc(F.round(F.col("a") * F.log(p / q), 6)), F.desc(F.length("f")), "f").limit(keep)
+    found = best.collect()  # the model's pieces of evidence, `keep` at most
+    toxic, clean = {r["f"]: r["a"] for r in found}, {r["f"]: r["b"] for r in found}
+    names = [r["f"] for r in found]
     place = {f: i for i, f in enumerate(names)}
 
     def active(batches):
         reader = Reader(shared_lm.value)
         for b in portions(batches):
-            found = [sorted({place[f] for w in reader.words(t) for f in features(w) if f in place}) for t in b.column(0).to_pylist()]
+            found = [sorted(place[f] for f in features(reader.words(t)) & place.keys()) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["f", "toxic"])
 
     data = [(r["f"], r["toxic"]) for r in rows.mapInArrow(active, "f array<int>, toxic int").orderBy("toxic", "f").collect()]  # feature numbers of the sample
-    telling = cover([f for f, t in data if t == 1], [clean.get(f, 0) * (sizes[0] / n0) / (sizes[1] / n1) for f in names])
+    scale = (sizes[0] / n0) / (sizes[1] / n1)
+    share = sizes[1] / (sizes[0] + sizes[1])
+    sure = {f: (toxic[f] + SHRINK * share) / (toxic[f] + clean[f] * scale + SHRINK) for f in names}
+    # what explains rows of its own, and what is sure by itself
+    telling = sorted({*cover([f for f, t in data if t == 1], [clean[f] * scale for f in names]), *(i for i, f in enumerate(names) if sure[f] >= SURE)})
     names = [names[i] for i in telling]
     again = {i: k for k, i in enumerate(telling)}
     w, bias = regress([[again[i] for i in f if i in again] for f, _ in data], np.array([t for _, t in data], float), len(names))
     # the sample's share of toxic rows isn't the labels'
     bias += math.log(sizes[1] / sizes[0]) - math.log(n1 / n0)
-    share = sizes[1] / (sizes[0] + sizes[1])
-    sure = {f: (toxic[f] + SHRINK * share) / (toxic[f] + clean.get(f, 0) * (sizes[0] / n0) / (sizes[1] / n1) + SHRINK) for f in names}
     told = {f: float(x) for f, x in zip(names, w) if x > 1e-3 or sure[f] > 0.5}
     return Scorer(lm, told, {f: sure[f] for f in told}, bias)
 

@@ -348,12 +348,42 @@ def test_toxicity_finds_held_out_rows(spark):
 def test_toxicity_reads_through_disguise(spark):
     rows, labels = labelled(spark)
     scorer = toxicity.fit(docs(spark, rows), labels)
-    for word in ("blorgh", "bl0rgh", "b l o r g h", "b.l.o.r.g.h", "blooorgh", "5narfle", "snarf1e", "grunt0k", "GRUNTOK!"):
+    for word in ("blorgh", "bl0rgh", "b l o r g h", "b.l.o.r.g.h", "blooorgh", "5narfle", "snarf1e", "grunt0k", "GRUNTOK!", "snarfl3", "8lorgh", "6runtok", "b/l/o/r/g/h", "b~l~o~r~g~h", "8 l o r g h", "b  l  o  r  g  h", "snarfl€."):
         assert scorer.score(f"ba12 ba7 {word} ba3") >= 0.7, word
     for text in ("", None, "ba1 ba2 ba3", "call 555 100 200 or mail8@x.example", "a b c"):
         assert scorer.score(text) < 0.7
 
 
+def test_suspects_at_the_ends_of_words():
+    want = {"hell0": "hell0", "a$$": "a$$", "assh0le$": "assh0le$", "@ss": "@ss", "8itch": "8itch", "+rash": "+rash", "(1diot)": "1diot", "hat3,": "hat3", "i/d/i/o/t": "i/d/i/o/t", "1 d i o t": "1 d i o t", "i  d  i  o  t": "i  d  i  o  t"}
+    for text, stretch in want.items():
+        assert stretch in toxicity.suspects(f"well {text} then"), text
+    for text in ("well! then", "12 34 56", "1 2 3 4", "it costs 50$ or 20", "2024-01-02", "no. 7, yes"):
+        assert not toxicity.suspects(text), text
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Evidence and scores of a learned model by plain loops over all words."""
+    rows, labels = labelled(spark)
+    rows += [(900, "blorghi blorghu blorgho blorgha ba1 ba2", "en", "a"), (901, "", "en", "a")]
+    scorer = toxicity.fit(docs(spark, rows), labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, rows), scorer).collect()}
+    for i, text, _, _ in rows:
+        low = text.lower()
+        found = {w for w in re.split(r"[\W\d_]+", low) if w}
+        for s in toxicity.suspects(low):
+            found |= {w for w in re.split(r"[\W\d_]+", toxicity.viterbi(toxicity.lattice(s), scorer.lm.tolist())) if w}
+        evidence = {"=" + w for w in found}
+        for k in (4, 5, 6, 7):
+            for start in {w[:k] for w in found if len(w) > k}:
+                evidence.add(start)
+                if sum(len(w) > k and w.startswith(start) for w in found) >= max(3, len(found) / 100):
+                    evidence.add(start + "+")
+        evidence &= scorer.weights.keys()
+        z = scorer.bias + sum(scorer.weights[f] for f in evidence)
+        assert got[i] == pytest.approx(max([1 / (1 + math.exp(-z)), *(scorer.precision[f] for f in evidence)]), abs=1e-9)
+
+
 def test_viterbi_is_the_best_reading():
     counts = toxicity.trigram_counts(["the idiot said the idea is in the id"] * 20)
     model = toxicity.language_model(counts)
