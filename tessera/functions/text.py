@@ -8,14 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ARTICLES, _LINKS = "the a an", "with or and"
-_PLACES, _ASKING = "to on in from by at of for", "where when how what"
-_VERBS = "is are be it does do gets get"
-STOP = sorted(" ".join((_ARTICLES, _LINKS, _PLACES, _ASKING, _VERBS)).split())
+STOP = sorted("a an the and or with to on in from by at of for where when how what is are be it does do gets get".split())
 QUERY_STOP = sorted({*STOP, "explain", "identify", "main", "code", "repository", "enough", "once"})
-NON_PRODUCTION = sorted(f"{w}{s}" for w in ("demo", "sample", "example", "fixture", "benchmark", "spec", "test") for s in ("", "s"))
+NON_PRODUCTION = sorted(f"{w}{s}" for w in ("benchmark", "demo", "example", "fixture", "sample", "spec", "test") for s in ("", "s"))
 TEST_WORDS = {"test", "tests", "spec", "specs", "fixture", "fixtures"}
-FLOW_WORDS = frozenset("path flow through incoming reaches".split())
+FLOW_WORDS = frozenset(("flow", "incoming", "path", "reaches", "through"))
 PROCEDURAL = ("without ", "do not ", "don't ", "stop once ")
 
 

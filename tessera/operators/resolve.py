@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import written
-from . import graph
+from . import graph, traverse
 
 UNRESOLVED, AMBIGUOUS = "UNRESOLVED", "AMBIGUOUS"
 
@@ -115,8 +115,52 @@ _BLOCKED = {
 }
 
 
-def resolve(facts: DataFrame, go_modules: DataFrame | None = None) -> Resolved:
-    """Edges and issues of the facts of all languages; go_modules has the folders (root) and names (module) of go.mod files."""
+def path_of(column: str) -> Column:
+    """The file of a canonical name; a path is its own."""
+    return F.substring_index(column, "::", 1)
+
+
+def _only(facts: DataFrame, paths: DataFrame) -> DataFrame:
+    """facts whose references (calls, heritage) are left in the files of paths alone; what can be referred to stays."""
+    marked = facts.join(paths.select("path", F.lit(True).alias("_mine")), "path", "left")
+    none = lambda c: F.array().cast(facts.schema[c].dataType)
+    return marked.select(*(F.when(F.col("_mine"), F.col(c)).otherwise(none(c)).alias(c) if c in ("calls", "heritage") else c for c in facts.columns))
+
+
+def affected(old: DataFrame, new: DataFrame, changed: DataFrame, imports: DataFrame, go_modules: DataFrame | None = None) -> DataFrame:
+    """path of every file that may resolve otherwise after the files of changed (path) went from old facts to new ones.
+
+    These are the files themselves, all that import them, directly or not (imports: src, dst before the change),
+    and those that see them without an import edge: files of a changed Go package and those that import its
+    folder, files of a changed Java package and those that import from it, and all Rust files where a module
+    was declared or is no longer. The set of files is the same before and after.
+    """
+    paths = traverse.closure(imports.select("src", "dst"), changed.select(F.col("path").alias("node"))).select(F.col("node").alias("path"))
+    for facts in (old, new):
+        touched = facts.join(changed.select("path"), "path", "left_semi")
+        folders = touched.where("lang = 'go'").select(_folder().alias("dir")).distinct()
+        paths = paths.unionByName(facts.where("lang = 'go'").withColumn("dir", _folder()).join(folders, "dir", "left_semi").select("path"))
+        paths = paths.unionByName(_go_imports(facts, go_modules, known=False).join(folders, "dir", "left_semi").select("path"))
+        packages = touched.where("lang = 'java'").select(F.coalesce("package", F.lit("")).alias("package")).distinct()
+        java = facts.where("lang = 'java'").withColumn("package", F.coalesce("package", F.lit("")))
+        paths = paths.unionByName(java.join(packages, "package", "left_semi").select("path"))
+        named = exploded(facts, "imports").where("lang = 'java'").select("path", F.explode(F.array("module", F.regexp_extract("module", r"^(.*)\.[^.]+$", 1))).alias("package"))
+        paths = paths.unionByName(named.join(packages, "package", "left_semi").select("path"))
+    declared = [exploded(f.join(changed.select("path"), "path", "left_semi"), "imports").where("lang = 'rust' and unsupported = 'MOD'").select("path", "module") for f in (old, new)]
+    if not declared[0].exceptAll(declared[1]).unionAll(declared[1].exceptAll(declared[0])).isEmpty():
+        paths = paths.unionByName(new.where("lang = 'rust'").select("path"))
+    return paths.distinct()
+
+
+def resolve(facts: DataFrame, go_modules: DataFrame | None = None, only: DataFrame | None = None) -> Resolved:
+    """Edges and issues of the facts of all languages; go_modules has the folders (root) and names (module) of go.mod files.
+
+    With only (path), edges and issues of these files alone, against what all files offer.
+    """
+    if only is not None:
+        part = resolve(_only(facts, only), go_modules)
+        own = lambda rows, c: rows.withColumn("path", path_of(c)).join(only.select("path"), "path", "left_semi").drop("path")
+        return Resolved(own(part.sites, "src"), own(part.imports, "src"), own(part.structural, "src"), own(part.issues, "source"))
     symbols = written(exploded(facts, "symbols"), "symbols")
     imports = written(modules(facts), "imports")
     bound = written(bindings(facts, symbols, imports), "bindings")
@@ -309,8 +353,8 @@ def _folder(path: str = "path") -> Column:
     return F.when(F.instr(F.col(path), "/") > 0, F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
 
 
-def _go_imports(facts: DataFrame, go_modules: DataFrame | None) -> DataFrame:
-    """Go imports with dir and pkg of the one package they lead to: the nearest go.mod above the file counts."""
+def _go_imports(facts: DataFrame, go_modules: DataFrame | None, known: bool = True) -> DataFrame:
+    """Go imports with dir and pkg of the one package they lead to: the nearest go.mod above the file counts. Unless known, dir is given without a package too."""
     rows = exploded(facts, "imports").where("lang = 'go'").drop("candidates").withColumnRenamed("module", "_import")
     if go_modules is None:
         return rows.select("*", F.lit(None).cast("string").alias("dir"), F.lit(None).cast("string").alias("pkg"))
@@ -323,7 +367,8 @@ def _go_imports(facts: DataFrame, go_modules: DataFrame | None) -> DataFrame:
     rest = F.when(F.startswith(F.col("_import"), prefix), F.ltrim(F.substr("_import", F.length(prefix) + 1), F.lit("/")))
     rows = rows.withColumn("dir", F.when(F.col("m.root") == "", rest).otherwise(F.concat("m.root", F.lit("/"), rest)))
     packages = facts.where("lang = 'go'").groupBy(_folder().alias("dir")).agg(F.countDistinct("package").alias("_p"), F.min("package").alias("pkg")).where("_p = 1").drop("_p")
-    return rows.join(packages, "dir", "left").withColumn("dir", F.when(F.col("pkg").isNotNull(), F.col("dir"))).drop("m")
+    rows = rows.join(packages, "dir", "left").drop("m")
+    return rows.withColumn("dir", F.when(F.col("pkg").isNotNull(), F.col("dir"))) if known else rows
 
 
 def _go_import_issues(facts: DataFrame, go_modules: DataFrame | None) -> DataFrame:

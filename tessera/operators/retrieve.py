@@ -1,7 +1,8 @@
 """find: fielded relevance over search facts, with corroboration from confirmed edges and from the file.
 
-Query terms meet the distinct stored terms first, and only the matching ones are joined with the postings.
-The reranking steps work on a pool of the best 64, which is all that ever reaches the driver.
+Postings are a table of their own, sorted by term. Query terms meet the distinct stored terms first, and only
+the matching ones are joined with the postings; what they find is written once, for the frequencies and for the
+scores. The reranking steps work on a pool of the best 64, which is all that ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import Query, non_production, parse_query
+from ..tables import written
 from .graph import pool_edges
 
 FIELDS = ["identifier", "path", "declaration", "comments", "strings", "body", "test"]
@@ -27,6 +29,11 @@ def postings(facts: DataFrame) -> DataFrame:
     return facts.select("canonical", F.explode(rows).alias("x")).select("canonical", "x.field", F.explode("x.terms").alias("term"))
 
 
+def by_term(posted: DataFrame) -> DataFrame:
+    """Postings clustered by term, so that a reader skips the parts without a term it looks for."""
+    return posted.repartitionByRange("term", "canonical").sortWithinPartitions("term", "canonical")
+
+
 def quality(value: Column, term: str, variants: list[str]) -> Column:
     """How well a stored term matches a query term: equal, prefix of one another, a variant, not at all (0)."""
 
@@ -58,14 +65,14 @@ def term_evidence(posted: DataFrame, query: Query) -> DataFrame:
     )
 
 
-def lexical(symbols: DataFrame, facts: DataFrame, text: str) -> DataFrame:
-    """canonical, name, path, kind, matched, coverage, lexical, fields of every admitted symbol."""
+def lexical(symbols: DataFrame, posted: DataFrame, text: str) -> DataFrame:
+    """From symbols and their postings: canonical, name, path, kind, matched, coverage, lexical, fields of every admitted symbol."""
     query = parse_query(text)
     symbols = symbols.select("canonical", "name", "path", "kind")
     if not query.terms:
         return symbols.select("*", F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("coverage"), F.lit(1.0).alias("lexical"), F.array().cast("array<string>").alias("fields"))
     many = len(query.terms)
-    evidence = term_evidence(postings(facts), query)
+    evidence = written(term_evidence(posted, query), "evidence")
     frequency = evidence.groupBy("qterm").agg(F.count(F.lit(1)).alias("df"))
     total = symbols.agg(F.count(F.lit(1)).alias("n"))
     idf = F.least(F.lit(3.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
@@ -78,7 +85,7 @@ def lexical(symbols: DataFrame, facts: DataFrame, text: str) -> DataFrame:
     rows = rows.where((F.col("matched") >= (2 if many >= 4 else 1)) | exact)
     coverage = F.coalesce("cover", F.lit(0.0)) / many
     mean = F.coalesce("contribution", F.lit(0.0)) / F.greatest(F.col("matched"), F.lit(1))
-    score = mean * (coverage * 0.65 + 0.35) + coverage * 12.0 * coverage
+    score = mean * (0.35 + 0.65 * coverage) + 12.0 * coverage * coverage
     if not query.test_intent:
         score = score - F.when(non_production(F.col("path")), 8.0).otherwise(0.0)
     if query.flow_intent:
@@ -123,10 +130,15 @@ def structural_bonus(pool: dict[str, float], edges: list[tuple[str, str, int]])
     return out
 
 
-def ranked(symbols: DataFrame, facts: DataFrame, edges: DataFrame, text: str) -> DataFrame:
-    """All admitted symbols with lexical, structural and area parts and the score, best first."""
+def best_first() -> list[Column]:
+    """The order of results."""
+    return [F.desc("score"), F.desc("matched"), F.asc("canonical")]
+
+
+def ranked(symbols: DataFrame, posted: DataFrame, edges: DataFrame, text: str) -> DataFrame:
+    """All admitted symbols with lexical, structural and area parts and the score, in no order; best_first() sorts them."""
     spark = symbols.sparkSession
-    rows = lexical(symbols, facts, text).cache()
+    rows = written(lexical(symbols, posted, text), "lexical")
     pool = {r["canonical"]: r["lexical"] for r in top_pool(rows, "lexical").select("canonical", "lexical").collect()}
     names = spark.createDataFrame([(k,) for k in pool], "node string")
     inside = pool_edges(edges, names).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 * 64 rows
@@ -135,7 +147,7 @@ def ranked(symbols: DataFrame, facts: DataFrame, edges: DataFrame, text: str) ->
     rows = rows.join(F.broadcast(table), "canonical", "left").withColumn("structural", F.coalesce("structural", F.lit(0.0))).withColumn("score", F.col("lexical") + F.col("structural"))
     area = file_area(top_pool(rows, "score"))
     rows = rows.join(F.broadcast(area.select("canonical", "area")), "canonical", "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
-    return rows.withColumn("score", F.col("score") + F.col("area")).orderBy(F.desc("score"), F.desc("matched"), "canonical")
+    return rows.withColumn("score", F.col("score") + F.col("area"))
 
 
 def file_area(pool: DataFrame) -> DataFrame:
@@ -154,3 +166,25 @@ def limited_confidence(first: list) -> bool:
     top = first[0]
     close = len(first) > 1 and first[1]["score"] >= 0.88 * top["score"] and first[1]["path"] != top["path"]
     return close or (top["structural"] < 0.2 and top["coverage"] < 0.72)
+
+
+TEST_PARTS = ["test", "tests", "spec", "specs"]
+
+
+def likely_tests(symbols: DataFrame, search: DataFrame, sites: DataFrame, canonical: str, name_terms: list[str]) -> DataFrame:
+    """canonical, score of test symbols near one symbol: 100 for its file, 300 for a call either way, 25 for each of up to four shared words of the name; 50 at least.
+
+    symbols has canonical, name, path; search has canonical and the terms of identifier and test. A symbol that is a test itself has none.
+    """
+    part = F.exists(F.split("path", "/"), lambda p: p.isin(TEST_PARTS) | p.contains(".test.") | p.contains(".spec."))
+    low = F.lower("name")
+    words = search.select("canonical", F.col("identifier").alias("_words"), (F.size("test") > 0).alias("_tested"))
+    rows = symbols.select("canonical", "name", "path").join(words, "canonical", "left")
+    rows = rows.withColumn("_test", part | (F.coalesce("_tested", F.lit(False)) & ((low == "test") | low.startswith("test_"))))
+    own = rows.where(F.col("canonical") == canonical).agg(F.max("path").alias("_own"), F.max("_test").alias("_is_test"))  # one row
+    near = sites.where(F.col("src") == canonical).select(F.col("dst").alias("canonical")).union(sites.where(F.col("dst") == canonical).select("src")).distinct().withColumn("_near", F.lit(300))
+    name = F.array(*map(F.lit, name_terms)).cast("array<string>")
+    shared = F.least(F.lit(4), F.size(F.array_intersect(F.coalesce("_words", F.array().cast("array<string>")), name))) * 25
+    tests = rows.where(F.col("_test") & (F.col("canonical") != canonical)).join(F.broadcast(own)).where("not _is_test")
+    score = F.when(F.col("path") == F.col("_own"), 100).otherwise(0) + F.coalesce("_near", F.lit(0)) + shared
+    return tests.join(near, "canonical", "left").withColumn("score", score).where("score >= 50").select("canonical", "score")

@@ -1,7 +1,8 @@
 """Frontier joins over edge tables: reverse reachability with depth, shortest call paths, closures, components.
 
-A level is one join of the frontier with the edges and one anti-join with what was seen. Frontiers are
-written between levels, which ends their lineage, and every loop ends on an empty frontier or a bound.
+The steps of a walk are written once, without the sites that it doesn't need. A level is then one join of the
+frontier with the steps and one anti-join with what was seen. Frontiers are written between levels, which ends
+their lineage, and every loop ends on an empty frontier or a bound.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ BUDGET = 500
 
 def impact(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth of all that depends on the roots (column node), directly or not; roots themselves excluded."""
-    steps = edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct()
+    steps = written(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct(), "impact-steps")
     seen = frontier = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "impact-0")
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -36,32 +37,31 @@ def impact_within_budget(edges: DataFrame, roots: DataFrame, budget: int = BUDGE
 
     Roots go in order of their name; a node's dependents in order of (src, kind, line, column). A node is
     expanded only if fewer than the budget were seen before its turn, so the last one may go past it; roots
-    count. Rows: node, depth, via (the node that admitted it), kind, line, column. One window over the
-    children of a level gives each parent the number seen before its turn; a level never needs more rows
-    than fit the budget and the last parent's dependents.
+    count. Rows: node, depth, via (the node that admitted it), kind, line, column. A frontier that is expanded
+    has fewer rows than the budget; over these alone run the windows that number parents and nodes. The last
+    parent's dependents, which may be very many, are written and never numbered.
     """
     first = roots.select("node").distinct()
-    seen = written(first.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.row_number().over(W.orderBy("node")).cast("long").alias("_turn")), "budget-0")
+    seen = written(first.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit(None).cast("long").alias("_parent_turn")), "budget-0")
     frontier, count, depth = seen, seen.count(), 0
+    steps = written(edges.select(F.col("dst").alias("_dst"), F.col("src").alias("_src"), "kind", "line", "column"), "budget-steps") if count < budget else edges
     while count < budget:
         depth += 1
-        order = [F.col("_parent_turn"), F.col("_src"), kind_order(), F.col("line"), F.col("column")]
-        steps = edges.select(F.col("dst").alias("_dst"), F.col("src").alias("_src"), "kind", "line", "column")
-        children = frontier.select(F.col("node").alias("_dst"), F.col("_turn").alias("_parent_turn")).join(steps, "_dst")
+        turns = frontier.select(F.col("node").alias("_dst"), F.row_number().over(W.orderBy("_parent_turn", "node")).cast("long").alias("_parent_turn"))
+        children = steps.join(F.broadcast(turns), "_dst")  # fewer rows than the budget
         children = children.join(seen.select(F.col("node").alias("_src")), "_src", "left_anti")
         # each new node by the first edge that admits it
         admitted = children.groupBy("_src").agg(F.min(F.struct("_parent_turn", "_src", kind_order().alias("_k"), "line", "column", "kind", F.col("_dst").alias("via"))).alias("e"))
-        admitted = admitted.select(F.col("_src").alias("node"), F.col("e._parent_turn").alias("_parent_turn"), F.col("e._k").alias("_k"), F.col("e.line").alias("line"), F.col("e.column").alias("column"), F.col("e.kind").alias("kind"), F.col("e.via").alias("via"))
+        admitted = written(admitted.select(F.col("_src").alias("node"), F.lit(depth).alias("depth"), "e.via", "e.kind", "e.line", "e.column", "e._parent_turn"), f"budget-children-{depth}")
         per_parent = admitted.groupBy("_parent_turn").agg(F.count(F.lit(1)).alias("_n"))
         before = F.coalesce(F.sum("_n").over(W.orderBy("_parent_turn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        turns = per_parent.withColumn("_before", before).where(F.col("_before") + count < budget).select("_parent_turn")
-        rank = F.row_number().over(W.orderBy("_parent_turn", "node")).cast("long")
-        frontier = written(admitted.join(turns, "_parent_turn", "left_semi").select("node", F.lit(depth).alias("depth"), "via", "kind", "line", "column", rank.alias("_turn")), f"budget-{depth}")
-        new = frontier.count()
-        if not new:
+        open_ = per_parent.withColumn("_before", before).where(F.col("_before") + count < budget).agg(F.max("_parent_turn").alias("t"), F.sum("_n").alias("n")).first()
+        if not open_["n"]:
             break
-        seen, count = seen.unionByName(frontier), count + new
-    return seen.where("depth > 0").drop("_turn"), count >= budget
+        # turns are in order: those up to the last open one
+        frontier = admitted.where(F.col("_parent_turn") <= open_["t"])
+        seen, count = seen.unionByName(frontier), count + open_["n"]
+    return seen.where("depth > 0").drop("_parent_turn"), count >= budget
 
 
 def trace(calls: DataFrame, start: str, end: str, budget: int = BUDGET) -> list[str] | None:
@@ -72,13 +72,14 @@ def trace(calls: DataFrame, start: str, end: str, budget: int = BUDGET) -> list[
     reverse = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("CALLS").alias("kind"), F.lit(0).alias("line"), F.lit(0).alias("column")).distinct()
     # forward from start: what "depends" on it over turned edges
     rows, _ = impact_within_budget(reverse, spark.createDataFrame([(start,)], "node string"), budget)
-    rows = written(rows, "trace")
+    # only nodes that admitted others, fewer than the budget, and the end can be on a path
+    inner = rows.select(F.col("via").alias("node")).distinct()
+    via = {r["node"]: r["via"] for r in rows.join(inner, "node", "left_semi").unionByName(rows.where(F.col("node") == end)).select("node", "via").collect()}
     path = [end]
-    while path[-1] != start:  # one look-up per hop, at most `budget` of them
-        step = rows.where(F.col("node") == path[-1]).select("via").first()
-        if step is None:
+    while path[-1] != start:
+        if path[-1] not in via:
             return None
-        path.append(step["via"])
+        path.append(via[path[-1]])
     return path[::-1]
 
 
@@ -89,7 +90,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def pool_components(edges: DataFrame, pool: DataFrame) -> DataFrame:
     """node, component (least node reachable, direction aside) for a pool of nodes, by repeated minimum."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
+    both = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct(), "components-edges")
     now = written(pool.select("node", F.col("node").alias("component")), "components")
     while True:
         near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("component").alias("_low"))

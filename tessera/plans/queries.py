@@ -17,6 +17,7 @@ from ..functions.text import NON_PRODUCTION, STOP, morphology, non_production, p
 from ..operators import graph, retrieve, traverse
 from ..operators.unique import resolve_unique
 from ..tables import written
+from . import trees
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +28,17 @@ def _key(table: str, column: str):
     return F.concat(F.lit(f"{table}::"), F.col(column).cast("string"))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in STOP)
+
+
+def _terms_sql(x: str) -> str:
+    low = f"lower(regexp_replace({x}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'))"
+    return f"list_filter(list_sort(list_distinct(regexp_split_to_array({low}, '[^\\p{{L}}\\p{{N}}]+'))), lambda w: strlen(w) >= 2 and w not in ({_STOPS}))"
+
+
+_TERMS_OF_NAME = _terms_sql("name")
+
+
 # --- the graph ---------------------------------------------------------------------------------------------
 
 
@@ -126,6 +138,23 @@ def impact_budget(spark, d):
     return rows.select("node", "depth", "via", "kind")
 
 
+def _budget_sql(levels: int = 6, budget: int = 500) -> str:
+    """The walk written out level by level: children of nodes in their turns, the first edge admits, parents after the budget don't expand."""
+    out = [f"with {EDGES}, k(kind, rank) as (values ('CALLS', 1), ('EXTENDS', 2), ('IMPLEMENTS', 3)), f0 as (select 'region::0' as node, 0 as depth, null as via, null as kind, 1::bigint as turn), seen0 as (select node from f0)"]
+    for n in range(1, levels + 1):
+        out.append(f"""ch{n} as (
+    select e.src as node, f.turn as pt, e.dst as via, e.kind, row_number() over (partition by e.src order by f.turn, k.rank, e.line, e.col) as rk
+    from f{n - 1} f join edges e on e.dst = f.node join k on k.kind = e.kind where e.src not in (select node from seen{n - 1})
+), pp{n} as (select pt, count(*) as n from ch{n} where rk = 1 group by pt),
+op{n} as (select pt from (select pt, coalesce(sum(n) over (order by pt rows between unbounded preceding and 1 preceding), 0) as b from pp{n}) where b + (select count(*) from seen{n - 1}) < {budget}),
+f{n} as (select node, {n} as depth, via, kind, row_number() over (order by pt, node) as turn from ch{n} where rk = 1 and pt in (select pt from op{n})),
+seen{n} as (select node from seen{n - 1} union all select node from f{n})""")
+    return ", ".join(out) + " " + " union all ".join(f"select node, depth, via, kind from f{n}" for n in range(1, levels + 1))
+
+
+IMPACT_BUDGET = _budget_sql()
+
+
 def trace_path(spark, d):
     """A call path from an order to a supplier of one of its parts: its hops."""
     calls = call_sites(spark, d).select("src", "dst").distinct()
@@ -154,14 +183,14 @@ IMPORTER_CLOSURE = f"""with recursive {EDGES}, reach as (
 
 
 def _pool(spark, d):
-    """64 nodes: the nations, the regions, and the first suppliers."""
-    rows = _t(spark, d, "nation").select(_key("nation", "n_nationkey").alias("node")).unionByName(_t(spark, d, "region").where("r_regionkey < 3").select(_key("region", "r_regionkey").alias("node")))
-    return rows.unionByName(_t(spark, d, "supplier").orderBy("s_suppkey").limit(10).select(_key("supplier", "s_suppkey").alias("node")))
+    """64 nodes: those with most dependents among their kind, the kinds taking turns; ties by name."""
+    many = edges(spark, d).groupBy(F.col("dst").alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(W.partitionBy(F.substring_index("canonical", "::", 1)).orderBy(F.desc("n"), "canonical"))
+    return written(retrieve.top_pool(many.withColumn("turn", 1 / rank), "turn").select(F.col("canonical").alias("node")), "pool")
 
 
 POOL = """pool as (
-    select 'nation::' || n_nationkey as node from nation union all select 'region::' || r_regionkey from region where r_regionkey < 3
-    union all select 'supplier::' || s_suppkey from (select s_suppkey from supplier order by 1 limit 10)
+    select node from (select dst as node, row_number() over (partition by split_part(dst, '::', 1) order by count(*) desc, dst) as rk from edges group by dst) order by rk, node limit 64
 )"""
 
 
@@ -242,48 +271,46 @@ select dst, count(*) as n from e where dst in (select name from u) group by dst"
 
 
 def narrowest_span(spark, d):
-    """Every line item's ship day against its order's spans; the narrowest that holds it wins."""
-    line = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.collect_list("l_linenumber").alias("ls"))
-    spans = line.select(F.col("l_orderkey").alias("path"), F.explode(F.array(F.struct(F.lit("outer").alias("canonical"), F.col("lo").alias("line"), F.col("hi").alias("end_line")), F.struct(F.lit("inner").alias("canonical"), (F.col("lo") + 1).alias("line"), (F.col("hi") - 1).alias("end_line")))).alias("s")).select("path", "s.*").where("line <= end_line")
-    changed = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("changed")).distinct()
-    inside = changed.join(spans, "path").where("changed between line and end_line")
-    return inside.groupBy("path", "changed").agg(F.min(F.struct((F.col("end_line") - F.col("line")).alias("w"), "canonical")).alias("m")).groupBy("m.canonical").agg(F.count(F.lit(1)).alias("n"))
-
+    """Line numbers of every order against the spans of its items; the narrowest that holds one wins."""
+    from ..engine import narrowest
 
-NARROWEST_SPAN = """with o as (select l_orderkey as path, min(l_linenumber) as lo, max(l_linenumber) as hi from lineitem group by 1),
-spans as (select path, 'outer' as canonical, lo as line, hi as end_line from o union all select path, 'inner', lo + 1, hi - 1 from o where lo + 1 <= hi - 1),
-changed as (select distinct l_orderkey as path, l_linenumber as changed from lineitem),
-best as (select c.path, changed, arg_min(canonical, end_line - line) as canonical from changed c join spans s on s.path = c.path and changed between line and end_line group by 1, 2)
-select canonical, count(*) as n from best group by canonical"""
+    items = _t(spark, d, "lineitem").select(F.concat(F.lit("order"), "l_orderkey").alias("path"), F.col("l_linenumber").alias("changed")).distinct()
+    ends = items.groupBy("path").agg(F.min("changed").alias("lo"), F.max("changed").alias("hi"))
+    span = lambda name, lo, hi: ends.select("path", F.concat("path", F.lit(f"::{name}")).alias("canonical"), lo.alias("line"), hi.alias("end_line"))
+    spans = span("outer", F.col("lo"), F.col("hi")).unionByName(span("inner", F.col("lo") + 1, F.col("hi") - 1)).where("line <= end_line")
+    return narrowest(items.withColumn("hunk", F.col("changed").cast("long")), spans)
 
 
-def positional_receiver(spark, d):
-    """A purchase resolves to a user's login only if exactly one came before it."""
-    events = _t(spark, d, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    before = F.count(F.when(F.col("event_type") == kinds[0], 1)).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
-    only = F.max(F.when(F.col("event_type") == kinds[0], F.col("event_id"))).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
-    rows = events.withColumn("n_before", before).withColumn("binding", only).where(F.col("event_type") == kinds[1])
-    return rows.select("event_id", "n_before", F.when(F.col("n_before") == 1, F.col("binding")).alias("binding"))
+NARROWEST_SPAN = """with items as (select distinct 'order' || l_orderkey as path, l_linenumber as changed from lineitem),
+ends as (select path, min(changed) as lo, max(changed) as hi from items group by path)
+select changed::bigint as hunk, path, path || case when changed > lo and changed < hi then '::inner' else '::outer' end as canonical from items join ends using (path)"""
 
 
-POSITIONAL_RECEIVER = """with k as (select list(event_type order by event_type) as k from (select distinct event_type from events)),
-calls as (select e.* from events e, k where event_type = k[2]), binds as (select e.* from events e, k where event_type = k[1])
-select c.event_id, count(b.event_id) as n_before, case when count(b.event_id) = 1 then max(b.event_id) end as binding
-from calls c left join binds b on b.user_id = c.user_id and (b.ts, b.event_id) < (c.ts, c.event_id) group by c.event_id"""
+def likely_tests(spark, d):
+    """Parts as symbols, some in test folders, some marked as tests: those that may test the first plain one."""
+    from ..functions import evidence
 
-
-def longest_prefix(spark, d):
-    """Pages to the longest of a few URL prefixes."""
-    roots = ["http://", "https://", "https://m.", "http://m.", "http://th", "https://th"]
-    rows = _t(spark, d, "pages").select("page_id", "url")
-    each = F.filter(F.array(*map(F.lit, roots)), lambda r: F.col("url").startswith(r))
-    best = F.array_max(F.transform(each, lambda r: F.struct(F.length(r).alias("n"), r.alias("root"))))
-    return rows.select("page_id", best["root"].alias("root"))
+    part = _t(spark, d, "part").select(_key("part", "p_partkey").alias("canonical"), "p_name", "p_size", "p_brand", "p_partkey")
+    folder = F.when(F.col("p_size") % 5 == 0, F.lit("tests/")).otherwise(F.lit("src/"))
+    name = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("test_"), F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(F.replace("p_name", F.lit(" "), F.lit("_")))
+    symbols = part.select("canonical", name.alias("name"), F.concat(folder, F.replace("p_brand", F.lit(" "), F.lit("_"))).alias("path"), "p_size", "p_partkey")
+    search = symbols.select("canonical", terms(F.col("name")).alias("identifier"), F.when(F.col("p_size") % 7 == 0, terms(F.col("name"))).otherwise(F.array().cast("array<string>")).alias("test"))
+    line = _t(spark, d, "lineitem")
+    sites = line.select(_key("part", "l_partkey").alias("src"), _key("part", "l_suppkey").alias("dst"))
+    target = symbols.where("p_size % 5 <> 0 and p_size % 7 <> 0").orderBy("p_partkey").select("canonical", "name").first()
+    return retrieve.likely_tests(symbols, search, sites, target["canonical"], evidence.terms(target["name"]))
 
 
-LONGEST_PREFIX = """with roots as (select unnest(['http://', 'https://', 'https://m.', 'http://m.', 'http://th', 'https://th']) as root)
-select page_id, arg_max(root, length(root)) as root from pages left join roots on starts_with(url, root) group by page_id"""
+LIKELY_TESTS = f"""with p as (
+    select p_partkey, 'part::' || p_partkey as canonical, case when p_size % 7 = 0 then 'test_' else '' end || replace(p_name, ' ', '_') as name,
+        case when p_size % 5 = 0 then 'tests/' else 'src/' end || replace(p_brand, ' ', '_') as path, p_size % 5 = 0 or p_size % 7 = 0 as is_test from part
+), t as (select * from p where not is_test order by p_partkey limit 1),
+near as (select distinct l_suppkey as other from lineitem, t where l_partkey = t.p_partkey union select distinct l_partkey from lineitem, t where l_suppkey = t.p_partkey),
+words as (select canonical, unnest({_TERMS_OF_NAME}) as term from p),
+shared as (select w.canonical, count(*) as k from words w join words o on o.term = w.term and o.canonical = (select canonical from t) group by 1),
+scored as (select p.canonical, case when p.path = t.path then 100 else 0 end + case when p.p_partkey in (select other from near) then 300 else 0 end + 25 * least(4, coalesce(k, 0)) as score
+    from p cross join t left join shared on shared.canonical = p.canonical where p.is_test)
+select canonical, score::int as score from scored where score >= 50"""
 
 
 # --- text and retrieval ------------------------------------------------------------------------------------
@@ -308,12 +335,8 @@ def _facts(spark, d) -> DataFrame:
     return s.select("canonical", terms(F.col("name")).alias("identifier"), terms(F.col("path")).alias("path"), terms(F.split("text", "\n")[0]).alias("declaration"), terms(F.col("lang")).alias("comments"), none.alias("strings"), terms(F.col("text")).alias("body"), none.alias("test"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in STOP)
-
-
-def _terms_sql(x: str) -> str:
-    low = f"lower(regexp_replace({x}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'))"
-    return f"list_filter(list_sort(list_distinct(regexp_split_to_array({low}, '[^\\p{{L}}\\p{{N}}]+'))), lambda w: strlen(w) >= 2 and w not in ({_STOPS}))"
+def _posted(spark, d) -> DataFrame:
+    return written(retrieve.postings(_facts(spark, d)), "postings")
 
 
 DOCS = f"""s as (
@@ -336,30 +359,31 @@ def tokenize_terms(spark, d):
 TOKENIZE_TERMS = f"""with x as (select conv_id, turn, {_terms_sql("coalesce(text, '')")} as t from conversations)
 select conv_id, turn, coalesce(array_to_string(t, ' '), '') as terms, len(t)::bigint as n from x"""
 
-_WORDS = sorted("stories boxes classes dogs bus running hopped baked station vision passing tried uses status singing fed ring mission ties news".split())
+def morphology_query(spark, d):
+    """Other forms of every distinct term of the conversations."""
+
+    def each(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([",".join(sorted(morphology(w))) for w in b.column(0).to_pylist()], pa.string())], ["token", "variants"])
 
-def morphology_query(spark, d):
-    rows = [(w, ",".join(sorted(morphology(w)))) for w in _WORDS]
-    return spark.createDataFrame(rows, "token string, variants string")
+    found = _t(spark, d, "conversations").select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("token")).distinct()
+    return found.mapInArrow(each, "token string, variants string")
 
 
-MORPHOLOGY = f"""with t as (select unnest({_WORDS!r}) as token), n as (select token, strlen(token) as n, left(token, -3) as b3, left(token, -2) as b2 from t),
+MORPHOLOGY = f"""with t as (select distinct unnest({_terms_sql("coalesce(text, '')")}) as token from conversations), n as (select token, strlen(token) as n, left(token, -3) as b3, left(token, -2) as b2 from t),
 v as (
     select token, case when n > 5 and token like '%ies' then b3 || 'y' when n > 5 and token like '%es' then b2 when n > 4 and token like '%s' and token not like '%ss' then left(token, -1) end as v from n
     union select token, unnest([b3, b3 || 'e']) from n where n > 5 and token like '%ing'
-    union select token, left(b3, -1) from n where n > 5 and token like '%ing' and strlen(b3) > 2 and right(b3, 1) = substr(right(b3, 2), 1, 1)
+    union select token, left(b3, -1) from n where n > 5 and token like '%ing' and length(b3) > 2 and right(b3, 1) = substr(right(b3, 2), 1, 1)
     union select token, unnest([b2, b2 || 'e']) from n where n > 4 and token like '%ed'
     union select token, b3 from n where n > 6 and (token like '%tion' or token like '%sion')
 ) select t.token, coalesce(string_agg(v, ',' order by v) filter (v is not null and strlen(v) >= 3 and v <> t.token), '') as variants from t left join v on v.token = t.token group by t.token"""
 
-
-def _query_sql() -> str:
-    q = parse_query(QUERY)
-    rows = []
-    for t, variants in q.terms:
-        rows.append(f"('{t}', [{', '.join(repr(v) for v in variants)}]::varchar[])")
-    return f"""q as (select * from (values {', '.join(rows)}) as q(t, vs)), vocab as (select distinct term from facts),
+# QUERY by hand: its words less the stop words, with the forms that their endings give; "reaches" asks for flow
+_TERMS = "('find', []::varchar[]), ('order', []), ('reaches', ['reach']), ('that', []), ('thing', []), ('thtion', [])"
+_RANKING = f"""q as (select * from (values {_TERMS}) as q(t, vs)), vocab as (select distinct term from facts),
 matched as (
     select term, t, case when term = t then 1.0 when strlen(t) >= 4 and (starts_with(term, t) or starts_with(t, term)) then 0.82
         when len(list_filter(vs, lambda v: term = v or (strlen(v) >= 4 and (starts_with(term, v) or starts_with(v, term))))) > 0 then 0.62 else 0.0 end::double as ql from vocab, q
@@ -367,60 +391,91 @@ matched as (
 w(field, wt, cv) as (values ('identifier', 3.5::double, 1.0::double), ('path', 2.2, 1.0), ('declaration', 1.7, 0.8), ('test', 0.9, 0.5), ('comments', 0.8, 0.45), ('strings', 0.65, 0.35), ('body', 0.25, 0.18)),
 ev as (select canonical, t, max(wt * ql) as best, max(cv * ql) as cover, count(*) as k from hits join w using (field) group by all),
 df as (select t, count(*) as df from ev group by t), total as (select count(*) as n from s),
-per as (select canonical, sum(least(8.0, least(3.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * (best + least(0.36, 0.12 * (k - 1))))) as contribution, sum(cover) / {len(q.terms)} as coverage, count(*) as matched
+per as (select canonical, sum(least(8.0, least(3.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * (best + least(0.36, 0.12 * (k - 1))))) as contribution, sum(cover) / 6 as coverage, count(*) as matched
     from ev join df using (t), total group by canonical),
-lex as (select canonical, path, name, matched, coverage, contribution / matched * (coverage * 0.65 + 0.35) + coverage * 12.0 * coverage + {0.7 if q.flow_intent else 0.0} as lexical
-    from per join s using (canonical) where matched >= {2 if len(q.terms) >= 4 else 1})"""
+lex as (select canonical, path, name, matched, coverage, contribution / matched * (0.35 + 0.65 * coverage) + 12.0 * coverage * coverage + 0.7 as lexical
+    from per join s using (canonical) where matched >= 2)"""
+
+
+def query_terms(spark, d):
+    """What every turn of a conversation would ask for as a query: its terms and intents."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            asked = [parse_query(t or "") for t in b.column(2).to_pylist()]
+            cols = [pa.array([" ".join(t for t, _ in q.terms) for q in asked], pa.string()), pa.array([q.test_intent for q in asked]), pa.array([q.flow_intent for q in asked])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["conv_id", "turn", "terms", "test_intent", "flow_intent"])
+
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(each, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, terms string, test_intent boolean, flow_intent boolean")
+
+
+QUERY_TERMS = r"""with clauses as (
+    select conv_id, turn, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[^.;\n]*[.;\n]|[^.;\n]+'), lambda c: trim(c, ' ' || chr(9) || chr(10) || chr(13))) as cs from conversations
+), kept as (
+    select conv_id, turn, array_to_string(list_filter(list_transform(cs, lambda c: case
+        when not (starts_with(c, 'without ') or starts_with(c, 'do not ') or starts_with(c, 'don''t ') or starts_with(c, 'stop once ')) then c
+        when contains(c, ',') then substr(c, instr(c, ',') + 1) end), lambda c: c is not null), ' ') as text from clauses
+), words as (select *, coalesce(regexp_extract_all(text, '[\p{L}\p{N}_]+'), []) as w from kept)
+select conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(w, lambda x: string_split(x, '_'))), lambda t: strlen(t) >= 2 and t not in (
+        'a', 'an', 'the', 'and', 'or', 'with', 'to', 'on', 'in', 'from', 'by', 'at', 'of', 'for', 'where', 'when', 'how', 'what', 'is', 'are', 'be', 'it', 'does', 'do', 'get', 'gets',
+        'explain', 'identify', 'main', 'code', 'repository', 'enough', 'once')))), ' '), '') as terms,
+    len(list_filter(w, lambda x: x in ('test', 'tests', 'spec', 'specs', 'fixture', 'fixtures'))) > 0 as test_intent,
+    contains(text, 'flow') or contains(text, 'incoming') or contains(text, 'path') or contains(text, 'reaches') or contains(text, 'through') as flow_intent
+from words"""
 
 
 def doc_frequency(spark, d):
-    ev = retrieve.term_evidence(retrieve.postings(_facts(spark, d)), parse_query(QUERY))
+    ev = retrieve.term_evidence(_posted(spark, d), parse_query(QUERY))
     return ev.groupBy(F.col("qterm").alias("term")).agg(F.count(F.lit(1)).alias("df"))
 
 
-DOC_FREQUENCY = f"with {DOCS}, {_query_sql()} select t as term, df from df"
+DOC_FREQUENCY = f"with {DOCS}, {_RANKING} select t as term, df from df"
 
 
 def lexical_score(spark, d):
-    rows = retrieve.lexical(_symbols(spark, d), _facts(spark, d), QUERY)
+    rows = retrieve.lexical(_symbols(spark, d), _posted(spark, d), QUERY)
     return rows.select("canonical", "matched", F.round("coverage", 6).alias("coverage"), F.round("lexical", 6).alias("lexical"))
 
 
-LEXICAL_SCORE = f"with {DOCS}, {_query_sql()} select canonical, matched, round(coverage, 6) as coverage, round(lexical, 6) as lexical from lex"
+LEXICAL_SCORE = f"with {DOCS}, {_RANKING} select canonical, matched, round(coverage, 6) as coverage, round(lexical, 6) as lexical from lex"
 
 
 def rank_topk(spark, d):
-    rows = retrieve.lexical(_symbols(spark, d), _facts(spark, d), QUERY).withColumn("lexical", F.round("lexical", 6))
+    rows = retrieve.lexical(_symbols(spark, d), _posted(spark, d), QUERY).withColumn("lexical", F.round("lexical", 6))
     top = rows.orderBy(F.desc("lexical"), F.desc("matched"), "canonical").limit(retrieve.SHOWN)
     return top.select("canonical", "lexical", F.row_number().over(W.orderBy(F.desc("lexical"), F.desc("matched"), "canonical")).alias("rank"))
 
 
-RANK_TOPK = f"""with {DOCS}, {_query_sql()}, r as (select canonical, round(lexical, 6) as lexical, (row_number() over (order by round(lexical, 6) desc, matched desc, canonical))::int as rank from lex)
+RANK_TOPK = f"""with {DOCS}, {_RANKING}, r as (select canonical, round(lexical, 6) as lexical, (row_number() over (order by round(lexical, 6) desc, matched desc, canonical))::int as rank from lex)
 select * from r where rank <= 20"""
 
 
 def file_area_rerank(spark, d):
-    rows = retrieve.lexical(_symbols(spark, d), _facts(spark, d), QUERY).withColumn("score", F.round("lexical", 6))
+    rows = retrieve.lexical(_symbols(spark, d), _posted(spark, d), QUERY).withColumn("score", F.round("lexical", 6))
     return retrieve.file_area(retrieve.top_pool(rows, "score")).select("canonical", F.round("area", 6).alias("area"))
 
 
-FILE_AREA_RERANK = f"""with {DOCS}, {_query_sql()}, pool as (select canonical, path, coverage, round(lexical, 6) as score from lex order by round(lexical, 6) desc, canonical limit 64),
+FILE_AREA_RERANK = f"""with {DOCS}, {_RANKING}, pool as (select canonical, path, coverage, round(lexical, 6) as score from lex order by round(lexical, 6) desc, canonical limit 64),
 v as (select *, greatest(score, 0) * greatest(coverage, 0.25) as worth from pool), r as (select *, row_number() over (partition by path order by worth desc, canonical) as rk from v),
 f as (select path, max(worth) as best, coalesce(sum(worth) filter (rk in (2, 3)), 0) as support from r group by path)
 select canonical, round(least(0.75, 0.35 * support / greatest(1.0, best)), 6) as area from pool join f using (path)"""
 
 
 def runner_up_confidence(spark, d):
-    rows = retrieve.lexical(_symbols(spark, d), _facts(spark, d), QUERY).withColumn("score", F.round("lexical", 6))
-    first = rows.orderBy(F.desc("score"), F.desc("matched"), "canonical").limit(2)
-    w = W.orderBy(F.desc("score"), F.desc("matched"), "canonical")
-    pair = first.select("canonical", "score", F.lead("score").over(w).alias("next_score"), (F.lead("path").over(w) != F.col("path")).alias("other"), F.row_number().over(w).alias("r")).where("r = 1")
-    return pair.select("canonical", F.coalesce((F.col("next_score") >= 0.88 * F.col("score")) & F.col("other"), F.lit(False)).alias("limited"))
+    """Whether the first two results call for a warning, without any confirmed edge."""
+    rows = retrieve.lexical(_symbols(spark, d), _posted(spark, d), QUERY).withColumn("score", F.round("lexical", 6)).withColumn("structural", F.lit(0.0))
+    first = rows.orderBy(*retrieve.best_first()).limit(2).collect()
+    limited = [(first[0]["canonical"], retrieve.limited_confidence(first))] if first else []
+    return spark.createDataFrame(limited, "canonical string, limited boolean")
 
 
-RUNNER_UP = f"""with {DOCS}, {_query_sql()}, r as (select canonical, path, round(lexical, 6) as score, row_number() over o as rk, lead(round(lexical, 6)) over o as nxt, lead(path) over o as npath from lex
+RUNNER_UP = f"""with {DOCS}, {_RANKING}, r as (select canonical, path, coverage, round(lexical, 6) as score, row_number() over o as rk, lead(round(lexical, 6)) over o as nxt, lead(path) over o as npath from lex
     window o as (order by round(lexical, 6) desc, matched desc, canonical))
-select canonical, coalesce(nxt >= 0.88 * score and npath <> path, false) as limited from r where rk = 1"""
+select canonical, coalesce(nxt >= 0.88 * score and npath <> path, false) or coverage < 0.72 as limited from r where rk = 1"""
 
 
 def nonproduction_paths(spark, d):
@@ -611,21 +666,36 @@ def lexer_split(spark, d):
     return _t(spark, d, "pages").select("page_id", "html").mapInArrow(each, "page_id long, code long, comments long, strings long")
 
 
+_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_QUOTED = "|".join(rf"{q}(?:\\.|[^{q}])*(?:{q}|\z)" for q in (r"\x22", r"\x27", "`"))
+_TRIPLE = "|".join(rf"{q}{{3}}.*?(?:{q}{{3}}|\z)" for q in (r"\x22", r"\x27"))
+_PIECES = rf"//[^\n]*|/\*.*?(?:\*/|\z)|#[^\n]*|{_TRIPLE}|{_QUOTED}"
+LEXER_SPLIT = rf"""with p as (select page_id, coalesce(html, '') as h, regexp_extract_all(coalesce(html, ''), '{_PIECES}', 0, 's') as ps from pages),
+c as (select page_id, h, list_filter(ps, lambda x: starts_with(x, '//') or starts_with(x, '/*') or starts_with(x, '#')) as cs,
+    list_filter(ps, lambda x: not (starts_with(x, '//') or starts_with(x, '/*') or starts_with(x, '#'))) as ss from p),
+t as (select page_id, regexp_replace(h, '{_PIECES}', '', 'gs') as code,
+    array_to_string(list_transform(cs, lambda x: case when starts_with(x, '/*') and ends_with(x, '*/') and length(x) > 3 then substr(x, 3, length(x) - 4) when starts_with(x, '#') then substr(x, 2) else substr(x, 3) end), ' ') as comments,
+    array_to_string(list_transform(ss, lambda x: case
+        when left(x, 3) in (repeat(chr(34), 3), repeat(chr(39), 3)) then case when length(x) > 5 and ends_with(x, left(x, 3)) then substr(x, 4, length(x) - 6) else substr(x, 4) end
+        when length(x) > 1 and ends_with(x, left(x, 1)) then substr(x, 2, length(x) - 2) else substr(x, 2) end), ' ') as strings from c)
+select page_id, len(regexp_extract_all(code, '[^{_SPACE}]+'))::bigint as code, coalesce(len(regexp_extract_all(comments, '[^{_SPACE}]+')), 0)::bigint as comments, coalesce(len(regexp_extract_all(strings, '[^{_SPACE}]+')), 0)::bigint as strings from t"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         unique_resolution, endpoint_join, materialize_calls, call_sites_min, dependencies_union, impact_depth, impact_by_depth, impact_budget, trace_path, importer_closure,
-        semi_pool_edges, components_pool, two_hop_sums, anti_visited, narrowest_span, positional_receiver, longest_prefix, tokenize_terms, doc_frequency, lexical_score,
+        semi_pool_edges, components_pool, two_hop_sums, anti_visited, narrowest_span, likely_tests, tokenize_terms, query_terms, doc_frequency, lexical_score,
         rank_topk, file_area_rerank, runner_up_confidence, nonproduction_paths, snapshot_changes, incremental_equals_full, hunk_headers,
         golden_symbols, golden_calls, golden_hierarchy, golden_imports, golden_issues, lexer_split, module_candidates, structural_rerank,
     )
-} | {"morphology": morphology_query}
+} | {"morphology": morphology_query} | trees.QUERIES
 
 ORACLE_SQL = {
     "unique_resolution": UNIQUE_RESOLUTION, "endpoint_join": ENDPOINT_JOIN, "materialize_calls": MATERIALIZE_CALLS, "call_sites_min": CALL_SITES_MIN, "dependencies_union": DEPENDENCIES_UNION,
-    "impact_depth": IMPACT_DEPTH, "impact_by_depth": IMPACT_BY_DEPTH, "trace_path": TRACE_PATH, "importer_closure": IMPORTER_CLOSURE, "semi_pool_edges": SEMI_POOL_EDGES, "components_pool": COMPONENTS_POOL,
-    "two_hop_sums": TWO_HOP_SUMS, "anti_visited": ANTI_VISITED, "narrowest_span": NARROWEST_SPAN, "positional_receiver": POSITIONAL_RECEIVER, "longest_prefix": LONGEST_PREFIX, "tokenize_terms": TOKENIZE_TERMS,
+    "impact_depth": IMPACT_DEPTH, "impact_by_depth": IMPACT_BY_DEPTH, "impact_budget": IMPACT_BUDGET, "lexer_split": LEXER_SPLIT, "trace_path": TRACE_PATH, "importer_closure": IMPORTER_CLOSURE, "semi_pool_edges": SEMI_POOL_EDGES, "components_pool": COMPONENTS_POOL,
+    "two_hop_sums": TWO_HOP_SUMS, "anti_visited": ANTI_VISITED, "narrowest_span": NARROWEST_SPAN, "likely_tests": LIKELY_TESTS, "tokenize_terms": TOKENIZE_TERMS, "query_terms": QUERY_TERMS,
     "morphology": MORPHOLOGY, "doc_frequency": DOC_FREQUENCY, "lexical_score": LEXICAL_SCORE, "rank_topk": RANK_TOPK, "file_area_rerank": FILE_AREA_RERANK, "runner_up_confidence": RUNNER_UP,
     "nonproduction_paths": NONPRODUCTION, "snapshot_changes": SNAPSHOT_CHANGES, "incremental_equals_full": INCREMENTAL, "hunk_headers": HUNK_HEADERS,
     "golden_symbols": GOLDEN_SYMBOLS, "golden_calls": GOLDEN_CALLS, "golden_hierarchy": GOLDEN_HIERARCHY, "golden_imports": GOLDEN_IMPORTS, "golden_issues": GOLDEN_ISSUES, "module_candidates": MODULE_CANDIDATES, "structural_rerank": STRUCTURAL_RERANK,
-}
+} | trees.ORACLE_SQL

@@ -22,10 +22,9 @@ def git(root: str, *args: str) -> str:
 
 
 def require_head(root: str) -> None:
-    inside, head = "rev-parse --is-inside-work-tree", "rev-parse --verify HEAD"
-    if git(root, *inside.split()).strip() != "true":
+    if git(root, "rev-parse", "--is-inside-work-tree").strip() != "true":
         raise NotARepository("not inside a git work tree")
-    git(root, *head.split())
+    git(root, "rev-parse", "--verify", "HEAD")
 
 
 def changes(root: str) -> list[tuple[str, str]]:
@@ -61,11 +60,14 @@ def hunk_fields(header: Column) -> list[Column]:
 
 def hunks(spark: SparkSession, root: str) -> DataFrame:
     """path and hunk_fields() of every hunk of the diff against HEAD."""
-    rows, path = [], None
+    rows, path, inside = [], None, False
     for line in git(root, "diff", "HEAD", "--unified=0", "--no-color", "--no-ext-diff", "--src-prefix=a/", "--dst-prefix=b/").split("\n"):
-        if line.startswith("+++ "):
+        if line.startswith("diff --git "):
+            path, inside = None, False
+        elif line.startswith("+++ ") and not inside:  # inside a hunk this is an added line
             path = line[6:].rstrip("\t") if line.startswith("+++ b/") else None
         elif line.startswith("@@ ") and path is not None:
+            inside = True
             rows.append((path, line))
     found = spark.createDataFrame(rows, "path string, header string")
     return found.select("path", *hunk_fields(F.col("header")))

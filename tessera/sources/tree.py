@@ -25,6 +25,15 @@ def language(path: str) -> str | None:
     return LANGUAGES.get(path.rsplit(".", 1)[-1]) if "." in path.rsplit("/", 1)[-1] else None
 
 
+def in_work_tree(root: str) -> bool:
+    """Whether root lies in a git work tree: at its top, below it, or in a linked one."""
+    try:
+        done = subprocess.run(["git", "-C", root, "rev-parse", "--is-inside-work-tree"], capture_output=True, timeout=60)
+    except FileNotFoundError:  # no git here
+        return False
+    return done.stdout.strip() == b"true"
+
+
 def list_sources(root: str) -> list[str]:
     """Supported files below root, sorted, hidden ones too; what git ignores is left out where root is in a work tree."""
     found = []
@@ -32,8 +41,8 @@ def list_sources(root: str) -> list[str]:
         folders[:] = sorted(d for d in folders if d not in PRUNED)
         at = os.path.relpath(folder, root).replace(os.sep, "/")
         found += [n if at == "." else f"{at}/{n}" for n in names if language(n)]
-    if found and os.path.isdir(os.path.join(root, ".git")):
-        done = subprocess.run(["git", "-C", root, "-c", "core.excludesFile=", "check-ignore", "-z", "--stdin"], input="\0".join(found).encode(), capture_output=True, timeout=120)
+    if found and in_work_tree(root):
+        done = subprocess.run(["git", "-C", root, "-c", "core.excludesFile=", "check-ignore", "--no-index", "-z", "--stdin"], input="\0".join(found).encode(), capture_output=True, timeout=120)
         ignored = set(done.stdout.decode("utf-8", "surrogateescape").split("\0"))
         found = [f for f in found if f not in ignored]
     return sorted(found)
@@ -41,7 +50,11 @@ def list_sources(root: str) -> list[str]:
 
 def files_of(spark: SparkSession, root: str) -> DataFrame:
     """path, lang, sha, content of every source file; one that isn't UTF-8 fails the job."""
-    paths = list_sources(root)
+    return read_files(spark, root, list_sources(root))
+
+
+def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """path, lang, sha, content of the files at paths below root."""
     rows = spark.createDataFrame([(p, language(p)) for p in paths], "path string, lang string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
 
     def read(batches):

@@ -85,11 +85,12 @@ def test_find_order(spark):
     rows = [(r["canonical"], evidence.terms(r["name"]), evidence.terms(r["path"]), [], [], [], evidence.terms(r["name"]), []) for r in symbols.collect()]
     facts = spark.createDataFrame(rows, "canonical string, identifier array<string>, path array<string>, declaration array<string>, comments array<string>, strings array<string>, body array<string>, test array<string>")
     edges = edges_of(spark, [("src/r.ts::matchRoute", "src/r.ts::dispatchHandler")])
-    got = [r["name"] for r in retrieve.ranked(symbols, facts, edges, "match a route").collect()]
+    posted = retrieve.postings(facts)
+    got = [r["name"] for r in retrieve.ranked(symbols, posted, edges, "match a route").orderBy(*retrieve.best_first()).collect()]
     assert got[0] == "matchRoute" and got.index("matchRouteTest") > 0 and "retryBackoff" not in got
-    exact = retrieve.ranked(symbols, facts, edges, "routeTable").first()
+    exact = retrieve.ranked(symbols, posted, edges, "routeTable").orderBy(*retrieve.best_first()).first()
     assert exact["name"] == "routeTable" and exact["lexical"] > retrieve.EXACT
-    assert retrieve.ranked(symbols, facts, edges, "").count() == 5
+    assert retrieve.ranked(symbols, posted, edges, "").count() == 5
 
 
 def test_snapshots(spark):

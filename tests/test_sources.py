@@ -85,7 +85,7 @@ def test_index_of_a_tree(spark, tmp_path):
     (tmp_path / "pkg" / "__init__.py").write_text("def entry():\n    return middle()\n\n\ndef middle():\n    return 2\n\n\ndef leaf_value():\n    return 1\n")
     assert index.sync() == "refreshed"
     fresh = Index.build(spark, str(tmp_path))
-    for table in ("symbols", "sites", "issues", "search"):
+    for table in ("facts", "postings", "symbols", "sites", "imports", "structural", "issues", "search", "dependencies"):
         columns = sorted(getattr(fresh, table).columns)
         assert sorted(map(str, getattr(index, table).select(*columns).collect())) == sorted(map(str, getattr(fresh, table).select(*columns).collect()))
     report = fresh.impact_diff()
@@ -99,6 +99,98 @@ def test_index_of_a_tree(spark, tmp_path):
     assert "/.tessera/" in (tmp_path / ".git" / "info" / "exclude").read_text()
 
 
+def test_many_callers_cost_no_more_jobs(spark, tmp_path):
+    calls = "".join(f"def caller{k:02d}():\n    target()\n\n\n" for k in range(50))
+    (tmp_path / "a.py").write_text(f"def target():\n    pass\n\n\n{calls}")
+    index = Index.build(spark, str(tmp_path))
+
+    def jobs(question):
+        group = f"jobs-{question}"
+        spark.sparkContext.setJobGroup(group, group)
+        text = getattr(index, question)("target")
+        spark.sparkContext.setJobGroup("", "")
+        return text, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    text, n = jobs("inspect")
+    assert "caller07" in text and "… 42 more callers" in text and n < 50
+    assert sum("[call at a.py:" in line for line in text.split("\n")) == 8
+    assert index.impact("target").count("CALLS a.py::target [call at") == 50
+    assert index.callers("a.py::target").count() == 50 and index.callees("a.py::caller00").first()["canonical"] == "a.py::target"
+    assert [tuple(r) for r in index.call_sites("a.py::caller00", "a.py::target").collect()] == [(6, 5)]
+    assert index.dependents("a.py::target").first()["kind"] == "CALLS" and index.defining_file("a.py::target") == "a.py"
+    shown = index.diagnose("target").collect()
+    assert shown[0]["canonical"] == "a.py::target" and shown[0]["qterm"] == "target" and shown[0]["df"] >= 1
+
+
+def test_a_refresh_is_a_build(spark, tmp_path):
+    """One changed file of each language: tables after refresh() equal those of a new build."""
+    files = {
+        "a.ts": "export function one() {}\n",
+        "b.ts": "export { one as two } from './a';\n",
+        "c.ts": "import { two } from './b';\nexport function run() { two(); }\n",
+        "p/m.py": "def f():\n    pass\n",
+        "p/n.py": "from .m import f\n\n\ndef g():\n    f()\n",
+        "go.mod": "module ex.com/x\n",
+        "k/k.go": "package k\n\nfunc Do() {}\n",
+        "main.go": 'package main\n\nimport "ex.com/x/k"\n\nfunc main() { k.Do() }\n',
+        "q/U.java": "package q;\npublic class U { public static void help(int x) {} }\n",
+        "q/V.java": "package q;\nclass V { void run() { U.help(1); } }\n",
+        "src/lib.rs": "mod u;\nuse crate::u::f;\npub fn top() { f(); }\n",
+        "src/u.rs": "pub fn f() {}\n",
+    }
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    index = Index.build(spark, str(tmp_path))
+    assert index.sites.count() == 5
+    edits = {"a.ts": "export function uno() {}\n", "p/m.py": "def h():\n    pass\n", "k/k.go": "package kk\n\nfunc Do() {}\n", "q/U.java": "package r;\npublic class U { public static void help(int x) {} }\n", "src/lib.rs": "use crate::u::f;\npub fn top() { f(); }\n"}
+    for path, text in edits.items():
+        (tmp_path / path).write_text(text)
+    assert index.refresh("a.ts") == "refreshed" and index.sites.count() == 4
+    assert index.sync() == "refreshed" and index.sites.count() == 0
+    fresh = Index.build(spark, str(tmp_path))
+    for table in ("facts", "search", "postings", "symbols", "sites", "imports", "structural", "issues", "dependencies"):
+        columns = sorted(getattr(fresh, table).columns)
+        assert sorted(map(str, getattr(index, table).select(*columns).collect())) == sorted(map(str, getattr(fresh, table).select(*columns).collect())), table
+    assert index.refresh("gone.py") == "rebuilt"
+
+
+def test_a_damaged_index_is_built_anew(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f():\n    g()\n\n\ndef g():\n    pass\n")
+    index = Index.build(spark, str(tmp_path))
+    assert index.sound() and Index._kept(spark, str(tmp_path)) is not None
+    part = next((tmp_path / ".tessera").glob("index-*/sites/*.parquet"))
+    part.write_bytes(part.read_bytes() + b"x")
+    assert Index._kept(spark, str(tmp_path)) is None
+    assert Index.open(spark, str(tmp_path)).sites.count() == 1
+
+
+def test_hunks_with_lines_that_look_like_headers(spark, tmp_path):
+    from tessera.sources.git import hunks
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    lines = [f"line {k}" for k in range(20)]
+    (tmp_path / "a.py").write_text("\n".join(lines) + "\n")
+    git("init")
+    git("add", ".")
+    git("commit", "-m", "x")
+    lines[2], lines[15] = "++ b/other.py", "changed"
+    (tmp_path / "a.py").write_text("\n".join(lines) + "\n")
+    assert sorted((r["path"], r["new_start"]) for r in hunks(spark, str(tmp_path)).collect()) == [("a.py", 3), ("a.py", 16)]
+
+
+def test_ignored_files_below_a_work_tree(tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    (tmp_path / "sub").mkdir()
+    for name in ("a.py", "b.py"):
+        (tmp_path / "sub" / name).write_text("x = 1\n")
+    git("init")
+    git("add", "-f", ".")
+    git("commit", "-m", "x")
+    (tmp_path / ".gitignore").write_text("b.py\n")
+    assert tree.list_sources(str(tmp_path / "sub")) == ["a.py"] and tree.list_sources(str(tmp_path)) == ["sub/a.py"]
+
+
 def test_rust(spark):
     calls, imports, _, issues = resolved(spark, {
         "src/lib.rs": "mod util;\nmod two;\npub mod inner { pub fn x() {} }\nuse crate::util::{leaf as l, missing};\nuse std::fmt;\n\npub fn run(cb: fn()) {\n    l();\n    cb();\n    missing();\n    println!(\"{}\", l());\n    let own = 1;\n    own();\n    A::new().go();\n}\n",
