@@ -10,6 +10,14 @@ from tessera.sources import tree
 from tessera.tables import written
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """These tables have a few rows each."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def resolved(spark, files):
     rows = [(p, tree.language(p), t) for p, t in files.items()]
     r = resolve(written(tree.facts_of(spark.createDataFrame(rows, "path string, lang string, content string")), "facts"))
