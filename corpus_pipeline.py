@@ -4,6 +4,16 @@ Each stage takes the rows that the one before it wrote. All but the last return
 language ID drops what it rejects, SimHash near-dedup keeps one document of each class, substring dedup
 rewrites texts (and n_chars) without their repeated passages, mixing gives every document as often as its
 source's target asks, in training order, and packing returns the pieces with their places in sequences.
+
+Defined cases, stage by stage. Language ID: a null text or one without a letter goes; if nothing can be learned
+all rows stay; equal rows are judged alike. Near-dedup: null texts stay, each alone; equal texts are one class,
+and of a class the row with the smallest doc_id stays (a null one only where all are null, one row of those that
+repeat id and text). Substring dedup: all rows stay; a null doc_id neither removes nor loses words; rows with
+equal ids don't count as smaller than each other; a text may become empty. Mixing: null is a source of its own;
+documents without a word, and those past their source's target, are taken by no copy; repeated rows give the
+copies of all of them. Packing: a null text is empty, one piece with the end id alone; repeated rows are packed
+as often as they come. Texts are read whole, further columns pass through whatever their names (packing returns
+its own columns), and an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
