@@ -13,7 +13,8 @@ Defined cases: a null html is an empty payload; payloads below 100 bytes are alw
 payloads the rows with the smallest page_id are responses and all others revisit it (a null page_id is only
 a response where no row of its payload has an id); repeated rows give one record each; an empty table gives
 no records; a record whose segments don't add up to the stated length is reported with valid = false and a
-null payload; columns other than page_id, url and html are ignored.
+null payload, and page_records() leaves its size null; page ids are integers (any other gives null ids back);
+columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ FILE_BYTES = 256 << 20
 FEW_REVISITS = 100_000
 
 
+def located(uri: str) -> str:
+    """The name by which pyarrow knows a place: Hadoop's s3a and s3n are its s3; host and port of any other stay."""
+    scheme, mark, rest = uri.partition("://")
+    return f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri
+
+
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
     """Chunked transfer framing of a payload."""
     out = []
@@ -120,18 +127,19 @@ def write_pages(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, file_
     def write(batches):
         context = TaskContext.get()
         pid, attempt = context.partitionId(), context.taskAttemptId()
-        files, base = fs.FileSystem.from_uri(path)
+        files, base = fs.FileSystem.from_uri(located(path))
         files.create_dir(base, recursive=True)
         out, records, written, k, serial, made = None, 0, 0, 0, 0, []
 
         def close() -> None:
             nonlocal out
             out.close()
-            final = f"{base}/pages-{pid:05d}-{k:04d}.warc.gz"
+            name = f"pages-{pid:05d}-{k:04d}.warc.gz"
+            final = f"{base}/{name}"
             if files.get_file_info(final).type != fs.FileType.NotFound:
                 files.delete_file(final)
             files.move(f"{base}/.{pid}-{k}-{attempt}", final)
-            made.append((final, records, written))
+            made.append((f"{path.rstrip('/')}/{name}", records, written))  # the whole URI
             out = None
 
         for b in portions(batches):
@@ -150,9 +158,7 @@ def write_pages(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, file_
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], ["path", "records", "bytes"])
 
-    table = cut(rows.mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-archives")
-    scheme = path.split("://", 1)[0] + "://" if "://" in path else ""
-    return table.withColumn("path", F.concat(F.lit(scheme), "path"))
+    return cut(rows.mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-archives")
 
 
 def records(stream):
@@ -214,7 +220,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def each(batches):
         for b in portions(batches):
             for path in b.column(0).to_pylist():
-                files, at = fs.FileSystem.from_uri(path)
+                files, at = fs.FileSystem.from_uri(located(path))
                 rows: list[tuple] = []
                 held = 0
                 with files.open_input_stream(at, compression=None) as stream:

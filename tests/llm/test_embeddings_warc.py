@@ -100,6 +100,10 @@ def test_pages_come_back(spark):
     assert warc.page_records(round_trip(pages(spark, []))).count() == 0
 
 
+def test_archive_places():
+    assert warc.located("s3a://bucket/x") == "s3://bucket/x" and warc.located("hdfs://host:8020/x") == "hdfs://host:8020/x" and warc.located("/x") == "/x"
+
+
 def test_a_missing_segment_is_reported(spark):
     frame = pages(spark, [(1, "http://a", prose(1, 2_000)), (2, "http://b", "small")])
     found = warc.read_archives(warc.write_pages(frame, new_path(spark, "warc"), segment=500))
