@@ -10,11 +10,17 @@ the two sets, 0.8 or more.
 Verification has two rounds, so that a large group of near copies doesn't need all its pairs. In the first
 every text puts forward its `nearest` candidates from each table; the verified ones are joined into classes.
 The second is exact, whatever the tables missed: texts of different classes meet in every run of their
-prefixes (prefix-filter join), and all pairs that the sizes and places allow are verified. A prefix is the
-n - ceil(0.8 n) + 1 first of a text's n runs in an order common to all texts: the runs that are frequent in a
-sample come last, the others by hash. The sample changes only the number of pairs, never the classes. Runs
-that more texts share than the cap are compared block against block as well. Equal texts are one class from
-the start, whatever their number.
+prefixes (prefix-filter join). A prefix is the n - ceil(0.8 n) + 1 first of a text's n runs in an order common
+to all texts: the runs that are frequent in a sample come last, the others by hash. The sample changes only the
+number of pairs, never the classes. Runs that more texts share than the cap are compared block against block as
+well. Equal texts are one class from the start, whatever their number.
+
+Most texts that meet in a run have little else in common, and such pairs grow faster than the texts, so no text
+is moved for a pair before two bounds that lose nothing have passed it. Similar texts share several runs of
+their prefixes, up to LEAST as far as these reach, not one. And each text has marks: as many bits as a power of
+two from twice its runs on, where every run flips the bit that its hash names; where two texts' marks differ,
+a run differs. Both steps and the verification go through the pairs in rounds, so that what is on disk at a time
+follows the texts, not the pairs.
 
 Defined cases: a null text is alone; texts without a word are alone but for equal ones; repeated rows are
 copies; class_id is the smallest doc_id of the class (null ids aside; null where all are) and kept is
@@ -25,6 +31,7 @@ rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,10 @@ BITS = 128
 KEY = 60
 STEP = 4
 RUN = 5
+LEAST = 4
+ROUND_MET = 64  # meetings in runs that one round counts, for every text
+ROUND_PAIRS = 0.5  # pairs whose texts one round moves, for every text
+SMALL = 10_000  # texts as which fewer count in these
 
 
 def _orders(tables: int) -> np.ndarray:
@@ -105,6 +116,16 @@ def frequent(docs: DataFrame, sample: int = 16_000, least: int = 3, most: int =
     return hashes[order], len(found) - order
 
 
+def _rest(sizes: np.ndarray, share: float) -> np.ndarray:
+    """How many runs of a text are not in its prefix."""
+    return np.maximum(0, np.ceil(share * sizes - 1e-9).astype(np.int64) - 1)
+
+
+def _both(m: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """How many runs similar texts of these sizes share at least."""
+    return np.ceil(share / (1 + share) * (m + n) - 1e-6).astype(np.int64)
+
+
 def prefixes(at: np.ndarray, value: np.ndarray, sizes: np.ndarray, share: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(length, runs) of every text's prefix: two texts that are similar enough share a run of their prefixes."""
     hashes, ranks = common
@@ -113,12 +134,31 @@ def prefixes(at: np.ndarray, value: np.ndarray, sizes: np.ndarray, share: float,
         rank = np.where(hashes[place] == value, ranks[place], 0)
         order = np.lexsort((value, rank, at))
         at, value = at[order], value[order]
-    lengths = np.where(sizes > 0, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1, 0)
+    lengths = sizes - _rest(sizes, share)
     return lengths, value[np.arange(len(at)) - (np.cumsum(sizes) - sizes)[at] < lengths[at]]
 
 
+def marks(at: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The marks of every text: bits that are set where an odd number of its runs fall."""
+    widths = np.int64(64) << np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64)
+    ends = np.cumsum(widths)
+    place = (ends - widths)[at] + (value & (widths[at] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(place, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], ends // 8)).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """By their marks, the least number of runs that only one of two texts has; the longer marks are folded to the length of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    differ = int.from_bytes(y)
+    for k in range(0, len(x), len(y)):
+        differ ^= int.from_bytes(x[k : k + len(y)])
+    return differ.bit_count()
+
+
 def describe(docs: DataFrame, tables: int, share: float) -> DataFrame:
-    """doc_id, digest (128 bits of SHA-256 in hex; null for a null text), size (distinct runs), sig (two longs), keys (one 60-bit key per table) and prefix (runs)."""
+    """doc_id, digest (128 bits of SHA-256 in hex; null for a null text), size (distinct runs), sig (two longs), keys (one 60-bit key per table), prefix (runs) and marks."""
     orders = _orders(tables)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
     weights = np.int64(1) << np.arange(KEY - 1, -1, -1, dtype=np.int64)
@@ -137,11 +177,11 @@ def describe(docs: DataFrame, tables: int, share: float) -> DataFrame:
                 digest = [None if t is None else hashlib.sha256(t).hexdigest()[:32] for t in part]
                 step = lambda k: pa.array(np.arange(len(part) + 1, dtype=np.int32) * k)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(digest, pa.string()), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(step(2), pa.array(sig.ravel().view(np.int64))), pa.ListArray.from_arrays(step(tables), pa.array(keys.ravel())), pa.ListArray.from_arrays(ends, pa.array(first.view(np.int64)))],
-                    ["doc_id", "digest", "size", "sig", "keys", "prefix"],
+                    [b.column(0).slice(i, j - i), pa.array(digest, pa.string()), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(step(2), pa.array(sig.ravel().view(np.int64))), pa.ListArray.from_arrays(step(tables), pa.array(keys.ravel())), pa.ListArray.from_arrays(ends, pa.array(first.view(np.int64))), marks(at, value, sizes)],
+                    ["doc_id", "digest", "size", "sig", "keys", "prefix", "marks"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, size bigint, sig array<bigint>, keys array<bigint>, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, size bigint, sig array<bigint>, keys array<bigint>, prefix array<bigint>, marks binary")
 
 
 def buckets(nodes: DataFrame, bucket: int, tag: str) -> DataFrame:
@@ -214,7 +254,10 @@ def candidates(placed: DataFrame, nodes: DataFrame, distance: int, share: float,
 
 
 def _meeting(h: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, share: float, split: int | None = None):
-    """Pairs a < b, in portions, of equal h and different classes that may be similar enough; rows are sorted by h and size, or with `split` by size in both parts, and pairs are of one row from each."""
+    """Pairs a < b, in portions, of equal h and different classes that may be similar enough, and how often such a pair meets then at least.
+
+    Rows are sorted by h and size, or with `split` by size in both parts, and pairs are of one row from each.
+    """
     many = len(h)
     if split is None:
         change = np.concatenate((np.flatnonzero(h[1:] != h[:-1]) + 1, [many]))
@@ -233,16 +276,18 @@ def _meeting(h: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray
         x, y, end = x[on], y[on], end[on]
         if not len(x):
             return
-        # were this the first shared run, no more could be shared than what follows it
-        both = np.minimum(size[x] - at[x], size[y] - at[y])
-        ok = (root[x] != root[y]) & (both * (1 + share) >= share * (size[x] + size[y]) - 1e-9)
+        m, n = size[x], size[y]
+        both = _both(m, n, share)
+        # similar texts share `least` runs of all but the last `both - least` of each, and of the prefixes if these reach as far
+        least = np.minimum(LEAST, both - np.maximum(_rest(m, share), _rest(n, share)))
+        ok = (root[x] != root[y]) & (np.minimum(m - at[x], n - at[y]) > both - least)
         if ok.any():
-            yield np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
+            yield np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]]), least[ok]
         y = y + 1
 
 
-def exact(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str) -> DataFrame:
-    """All pairs a < b of different classes that share a run of their prefixes, as far as sizes and places allow the share.
+def meetings(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str) -> list[DataFrame]:
+    """Tables of a, b and n, a row for each run that two texts a < b of different classes share so far in front that it counts; similar ones have n rows or more.
 
     rows has row and prefix, nodes has node, size and root. A run of more than `cap` texts goes block against block.
     """
@@ -264,9 +309,9 @@ def exact(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str) -
 
     def sent(held):
         if held:
-            a, b = (np.concatenate(c) for c in zip(*held))
+            a, b, least = (np.concatenate(c) for c in zip(*held))
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 5], names)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 4, pa.array(least)], names)
 
     def each(batches):
         rest = None
@@ -300,6 +345,9 @@ def exact(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str) -
             yield from pairs(_meeting(*(c[small] for c in cols), share))
 
     met = cut(some.mapInArrow(each, ", ".join(f"{c} bigint" for c in names)), f"{tag}-met")
+    out = [met.where("b is not null").select("a", "b", "n")]
+    if met.where("b is null").isEmpty():
+        return out
     hot = met.where("b is null").withColumn("blocks", F.ceil(F.col("n") / cap).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hot = hot.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("a").alias("node"), "root", "size", "at")
@@ -309,9 +357,33 @@ def exact(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str) -
         for g in _groups(batches, 3):
             i, j = g.column(1)[0].as_py(), g.column(2)[0].as_py()
             h, own, node, root, size, at = (g.column(k).to_numpy() for k in (0, 3, 4, 5, 6, 7))
-            yield from (b.select(["a", "b"]) for b in pairs(_meeting(h, node, root, size, at, share, None if i == j else int(np.searchsorted(own, j)))))
+            yield from (b.select(["a", "b", "n"]) for b in pairs(_meeting(h, node, root, size, at, share, None if i == j else int(np.searchsorted(own, j)))))
+
+    return [*out, cut(hot.mapInArrow(blocks, "a bigint, b bigint, n bigint"), f"{tag}-met-hot")]
+
+
+def rounds(table: DataFrame, many: int, most: float) -> list[DataFrame]:
+    """The table, of `many` rows, in parts of about `most` rows; rows of one pair (a, b) are in one part."""
+    parts = max(1, int(np.ceil(many / most)))
+    return [table] if parts == 1 else [table.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def near(pairs: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose marks allow the share; rows has row, size and marks."""
+    side = lambda node, size, bits: rows.select(F.col("row").alias(node), F.col("size").alias(size), F.col("marks").alias(bits))
+
+    def each(batches):
+        for batch in batches:
+            m, n = (batch.column(k).to_numpy() for k in (2, 3))
+            differ = np.array([apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(differ <= m + n - 2 * _both(m, n, share)))
 
-    return met.where("b is not null").select("a", "b").unionByName(hot.mapInArrow(blocks, "a bigint, b bigint")).distinct()
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(each, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
@@ -356,15 +428,22 @@ def members(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int
     roots = cut(components(links, f"{tag}-components-1"), f"{tag}-roots-1")
     now = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     release(spark, placed)
-    second = cut(exact(rows, now, share, cap, tag).join(first, ["a", "b"], "left_anti"), f"{tag}-rest")
+    many = max(SMALL, full.count())
+    met = united(meetings(rows, now, share, cap, tag))
+    second = []
+    for part in rounds(met, met.count(), ROUND_MET * many):
+        pairs = part.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("k")).where("k >= n").select("a", "b")
+        second.append(cut(near(pairs, rows, share).join(first, ["a", "b"], "left_anti"), f"{tag}-rest"))
     release(spark, first)
-    if not second.isEmpty():
-        texts = _texts(docs, nodes, second, f"{tag}-texts-2")
-        more = cut(verify(second, texts, share), f"{tag}-links-2")
+    rest = united(second)
+    left = rest.count()
+    if left:
+        texts = _texts(docs, nodes, rest, f"{tag}-texts-2")
+        more = united([cut(verify(part, texts, share), f"{tag}-links-2") for part in rounds(rest, left, ROUND_PAIRS * many)])
         release(spark, texts)
         if not more.isEmpty():
             roots = cut(components(links.unionByName(more), f"{tag}-components-2"), f"{tag}-roots-2")
-    release(spark, second)
+    release(spark, *second)
     member = rows.where("digest is not null").select("row", "doc_id", "digest").join(nodes.select("digest", "node"), "digest").join(roots, "node", "left")
     every = member.select("row", "doc_id", "digest", F.coalesce("root", "node").alias("root")).unionByName(rows.where("digest is null").select("row", "doc_id", "digest", F.col("row").alias("root")))
     return cut(every, f"{tag}-members")

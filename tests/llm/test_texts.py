@@ -301,6 +301,41 @@ def test_simhash_is_exact_without_tables_that_reach(spark):
         assert {r["doc_id"]: r["class_id"] for r in out.collect()} == near_classes(rows)
 
 
+def chance_runs(many):
+    """Texts of four words in random order, so that any two share some runs by chance, and pairs that differ in a word."""
+    rows = [(i, prose(900 + i, 60, 4)) for i in range(many)]
+    return rows + [(many + i, t + " end") for i, t in rows[:10]]
+
+
+def test_simhash_moves_no_text_for_chance_runs(spark, monkeypatch):
+    rows, moved, texts = chance_runs(150), {}, simhash._texts
+    monkeypatch.setattr(simhash, "_texts", lambda docs, nodes, pairs, tag: moved.update({tag: pairs.count()}) or texts(docs, nodes, pairs, tag))
+    out = simhash.classes(docs(spark, [(i, t, "en", "a") for i, t in rows]), tables=1, distance=0)
+    assert {r["doc_id"]: r["class_id"] for r in out.collect()} == near_classes(rows)
+    assert moved["simhash-texts-2"] <= 30  # 10 links; more than a thousand pairs share a run
+
+
+def test_simhash_rounds(spark, monkeypatch):
+    for name, value in (("SMALL", 1), ("ROUND_MET", 2), ("ROUND_PAIRS", 0.05)):
+        monkeypatch.setattr(simhash, name, value)
+    rows = families(7) + chance_runs(20)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    out = simhash.classes(docs(spark, [(i, t, "en", "a") for i, t in rows]), tables=1, distance=0)
+    assert {r["doc_id"]: r["class_id"] for r in out.collect()} == near_classes(rows)
+
+
+def test_simhash_marks():
+    rng = random.Random(4)
+    texts = [prose(k, rng.choice([0, 3, 30, 36, 70, 300, 3000]), 50).encode() for k in range(60)] + [None]
+    at, value = simhash.shingles(texts)
+    marks = simhash.marks(at, value, simhash.signatures(texts)[0]).to_pylist()
+    sets = [set(value[at == k].tolist()) for k in range(len(texts))]
+    for x, s in zip(marks, sets):
+        assert simhash.apart(x, x) == 0
+        assert all(simhash.apart(x, y) <= len(s ^ t) and simhash.apart(x, y) == simhash.apart(y, x) for y, t in zip(marks, sets))
+    assert len({len(x) for x in marks}) > 3
+
+
 def test_simhash_awkward_rows(spark):
     rows = awkward() + [(12, None, "en", "a"), (13, "", "en", "a")]
     out = simhash.classes(docs(spark, rows)).collect()
