@@ -6,6 +6,8 @@ import public_tokenizers
 from helpers import awkward, cut_windows, docs, near_classes, prose, words
 from tokenizers import Tokenizer
 
+from tessera.llm import simhash
+
 
 def corpus():
     rng = random.Random(12)
@@ -74,3 +76,14 @@ def test_run_takes_awkward_and_empty_tables(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(folder))
         assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(out.columns)
         assert (out.count() > 0) == bool(rows)
+
+
+def test_near_dedup_moves_no_text_for_chance_runs(spark, tmp_path, monkeypatch):
+    """Texts of four words in random order share runs by chance: the stage keeps one of each class and compares few texts for it."""
+    texts, moved = simhash._texts, []
+    monkeypatch.setattr(simhash, "_texts", lambda frame, nodes, pairs, tag: moved.append(pairs.count()) or texts(frame, nodes, pairs, tag))
+    rows = [(i, prose(900 + i, 60, 4)) for i in range(150)]
+    rows += [(150 + i, t + " end") for i, t in rows[:10]]
+    out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), str(tmp_path))
+    assert {r["doc_id"] for r in out.collect()} == set(near_classes(rows).values())
+    assert sum(moved) <= 100  # more than a thousand pairs share a run
