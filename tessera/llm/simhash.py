@@ -19,7 +19,7 @@ Most texts that meet in a run have little else in common, and such pairs grow fa
 is moved for a pair before two bounds that lose nothing have passed it. Similar texts share several runs of
 their prefixes, up to LEAST as far as these reach, not one. And each text has marks: as many bits as a power of
 two from twice its runs on, where every run flips the bit that its hash names; where two texts' marks differ,
-a run differs. Both steps and the verification go through the pairs in rounds, so that what is on disk at a time
+a run differs. The count and both verifications go through the pairs in rounds, so that what is on disk at a time
 follows the texts, not the pairs.
 
 Defined cases: a null text is alone; texts without a word are alone but for equal ones; repeated rows are
@@ -423,12 +423,12 @@ def members(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int
     cap = 4 * bucket
     first = cut(candidates(placed, full.withColumn("root", F.col("node")), distance, share, cap, nearest), f"{tag}-nearest")
     texts = _texts(docs, nodes, first, f"{tag}-texts-1")
-    links = cut(verify(first, texts, share), f"{tag}-links-1")
+    many = max(SMALL, full.count())
+    links = united([cut(verify(part, texts, share), f"{tag}-links-1") for part in rounds(first, first.count(), ROUND_PAIRS * many)])
     release(spark, texts)
     roots = cut(components(links, f"{tag}-components-1"), f"{tag}-roots-1")
     now = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     release(spark, placed)
-    many = max(SMALL, full.count())
     met = united(meetings(rows, now, share, cap, tag))
     second = []
     for part in rounds(met, met.count(), ROUND_MET * many):
