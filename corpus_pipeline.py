@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, mixing, packing, simhash, substrings
-from tessera.llm.common import cut, held_out
+from tessera.llm.common import cut, held_out, passing, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,12 @@ ORACLE_SQL = None  # clustering, SimHash candidates and best-fit supersteps aren
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in order, each one's rows written as Parquet and read again."""
+    """Apply the stages in order, each one's rows written as Parquet and read again; what a stage leaves goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage-{k}-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with passing(spark) as keep:
+            docs = keep(cut(stage(spark, before, sf_dir), f"stage-{k}-{name}"))
+        if k:
+            release(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,8 +31,10 @@ _WRITING = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
+MOST_WORDS = 20  # a sieve has at most 2 to this power words of 64 bits
 _lock = threading.Lock()
 _open: dict[str, list] = {}
+_passing = threading.local()
 
 
 @contextmanager
@@ -66,9 +68,26 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for held in getattr(_passing, "held", [])[-1:]:
+        held.append(out)
     return out
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """The tables that cut() makes inside are deleted at the end, but for those given to the function that this yields."""
+    stack = _passing.__dict__.setdefault("held", [])
+    kept: list[DataFrame] = []
+    stack.append([])
+    try:
+        yield lambda table: kept.append(table) or table
+    finally:
+        held = stack.pop()
+        if stack:
+            stack[-1] += kept
+        release(spark, *(t for t in held if t in _paths and not any(t is k for k in kept)))
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by cut() that nothing needs any more."""
     jvm = spark.sparkContext._jvm
@@ -93,6 +112,27 @@ def exactly(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def sieve(keys: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """(word, bits) of a bit map with a bit set for each value of the only column, a long, and how many words it has.
+
+    For sifted(): 32 bits a key, and 64 MBit at most, so that every task can hold it; more keys only sift less.
+    """
+    key = F.col(keys.columns[0])
+    words = 1 << min(MOST_WORDS, max(4, (keys.count() // 2).bit_length()))
+    bits = keys.groupBy(F.pmod(key, F.lit(words)).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{keys.columns[0]}`, 58) as int))")).alias("bits"))
+    return cut(bits, tag), words
+
+
+def sifted(table: DataFrame, key: Column, bits: tuple[DataFrame, int], name: str) -> DataFrame:
+    """Add name: false where the key is surely not among the sieve's, without moving a row; key isn't null."""
+    of, words = bits
+    word, held, own = free_names([*table.columns, name], "sieve_word", "sieve_bits", "sieve_key")
+    of = F.broadcast(of.select(F.col("word").alias(word), F.col("bits").alias(held)))
+    both = table.withColumn(own, key).join(of, F.pmod(F.col(own), F.lit(words)) == F.col(word), "left")
+    hit = F.expr(f"coalesce(`{held}` & shiftleft(1L, cast(shiftrightunsigned(`{own}`, 58) as int)), 0L) <> 0")
+    return both.withColumn(name, hit).drop(word, held, own)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

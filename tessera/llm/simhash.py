@@ -19,8 +19,10 @@ Most texts that meet in a run have little else in common, and such pairs grow fa
 is moved for a pair before two bounds that lose nothing have passed it. Similar texts share several runs of
 their prefixes, up to LEAST as far as these reach, not one. And each text has marks: as many bits as a power of
 two from twice its runs on, where every run flips the bit that its hash names; where two texts' marks differ,
-a run differs. The count and both verifications go through the pairs in rounds, so that what is on disk at a time
-follows the texts, not the pairs.
+a run differs. This holds for the pairs of either round. Shared runs, counts, marks and verifications are gone through
+in rounds, so that what is on disk at a time follows the texts, not the pairs, and is a part of them only: a bit map
+of the wanted texts, small enough for every task, leaves nearly all others where they are, and so it is with the
+survivors. Tables go as soon as nothing needs them.
 
 Defined cases: a null text is alone; texts without a word are alone but for equal ones; repeated rows are
 copies; class_id is the smallest doc_id of the class (null ids aside; null where all are) and kept is
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, free_names, partitions, release
+from .common import components, cut, free_names, partitions, passing, release, sieve, sifted
 from .embeddings import _groups
 from .textops import give_back, inside, mix, portions, runs, slices, words
 
@@ -48,7 +50,10 @@ STEP = 4
 RUN = 5
 LEAST = 4
 ROUND_MET = 64  # meetings in runs that one round counts, for every text
-ROUND_PAIRS = 0.5  # pairs whose texts one round moves, for every text
+ROUND_NEAR = 4  # pairs whose marks one round moves, for every text
+ROUND_PAIRS = 0.25  # pairs whose texts one round moves, for every text
+ROUND_ROWS = 30  # rows that one round compares block against block, for every text
+ROUNDS_RUNS = 4  # rounds in which texts meet in the runs of their prefixes
 SMALL = 10_000  # texts as which fewer count in these
 
 
@@ -204,14 +209,28 @@ def buckets(nodes: DataFrame, bucket: int, tag: str) -> DataFrame:
         depth = min(KEY, depth + STEP)
 
 
-def candidates(placed: DataFrame, nodes: DataFrame, distance: int, share: float, cap: int, nearest: int | None) -> DataFrame:
+def blocked(rows: DataFrame, node: str, cap: int) -> DataFrame:
+    """The rows, of groups of n, once for every pair (i, j) of blocks of their group that they are in; own is the row's block."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / cap).cast("int")).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def block_rounds(rows: DataFrame, cap: int, most: float) -> list:
+    """Conditions, as functions of a hash of a pair of blocks, that split the rows of blocked() in parts of about `most`."""
+    parts = max(1, int(np.ceil((rows.agg(F.sum(F.ceil(F.col("n") / cap))).first()[0] or 0) / most)))
+    return [lambda h, k=k: F.lit(True) if parts == 1 else F.pmod(h, F.lit(parts)) == k for k in range(parts)]
+
+
+def candidates(placed: DataFrame, nodes: DataFrame, distance: int, share: float, cap: int, nearest: int | None, part=lambda h: F.lit(True)) -> DataFrame:
     """Pairs a < b of one bucket within the distance, in different classes and with sizes that allow the share.
 
     nodes has node, size, sig and root. With `nearest`, every text only puts forward so many, the nearest first.
+    part, of block_rounds(), is what is compared.
     """
-    rows = placed.withColumn("blocks", F.ceil(F.col("n") / cap).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", (F.col("table") * 64 + F.col("depth")).cast("long").alias("group"), "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    rows = blocked(placed, "node", cap)
+    rows = rows.select("node", (F.col("table") * 64 + F.col("depth")).cast("long").alias("group"), "prefix", "i", "j", "own")
+    rows = rows.where(part(F.xxhash64("group", "prefix", "i", "j")))
     rows = rows.join(nodes.select("node", "size", "root", F.get("sig", F.lit(0)).alias("s0"), F.get("sig", F.lit(1)).alias("s1")), "node")
     rows = rows.select("group", "prefix", "i", "j", "own", "node", "root", "size", "s0", "s1")
     rows = rows.repartition(partitions(nodes.sparkSession), "group", "prefix", "i", "j").sortWithinPartitions("group", "prefix", "i", "j", "own", "node")
@@ -286,15 +305,13 @@ def _meeting(h: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray
         y = y + 1
 
 
-def meetings(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str) -> list[DataFrame]:
+def meetings(front: DataFrame, share: float, cap: int, most: float, tag: str) -> list[DataFrame]:
     """Tables of a, b and n, a row for each run that two texts a < b of different classes share so far in front that it counts; similar ones have n rows or more.
 
-    rows has row and prefix, nodes has node, size and root. A run of more than `cap` texts goes block against block.
+    front has node, size, root and prefix. A run of more than `cap` texts goes block against block, `most` rows in a round.
     """
-    spark = nodes.sparkSession
-    some = rows.select(F.col("row").alias("node"), "prefix").join(nodes.select("node", "size", "root"), "node")
-    some = some.select("node", "root", "size", F.posexplode("prefix").alias("at", "h")).select("h", "node", "root", F.col("size").cast("int"), F.col("at").cast("int"))
-    some = some.repartition(partitions(spark), "h").sortWithinPartitions("h", "size", "node")
+    spark = front.sparkSession
+    every = front.select("node", "root", "size", F.posexplode("prefix").alias("at", "h")).select("h", "node", "root", F.col("size").cast("int"), F.col("at").cast("int"))
     names = ["a", "b", "h", "root", "size", "at", "n"]
 
     def pairs(found):
@@ -344,14 +361,18 @@ def meetings(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str
         if small.any():
             yield from pairs(_meeting(*(c[small] for c in cols), share))
 
-    met = cut(some.mapInArrow(each, ", ".join(f"{c} bigint" for c in names)), f"{tag}-met")
+    met = []
+    for k in range(ROUNDS_RUNS):
+        some = every.where(F.pmod(F.xxhash64("h"), F.lit(ROUNDS_RUNS)) == k).repartition(partitions(spark), "h").sortWithinPartitions("h", "size", "node")
+        met.append(cut(some.mapInArrow(each, ", ".join(f"{c} bigint" for c in names)), f"{tag}-met"))
+    met = united(met)
     out = [met.where("b is not null").select("a", "b", "n")]
-    if met.where("b is null").isEmpty():
+    large = met.where("b is null")
+    if large.isEmpty():
         return out
-    hot = met.where("b is null").withColumn("blocks", F.ceil(F.col("n") / cap).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hot = hot.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("a").alias("node"), "root", "size", "at")
-    hot = hot.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j", "own", "size", "node")
+    # a run whose texts are one class already has no pair
+    split_runs = large.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("z")).where("x <> z").select("h")
+    large = cut(large.join(split_runs, "h"), f"{tag}-hot")
 
     def blocks(batches):
         for g in _groups(batches, 3):
@@ -359,7 +380,11 @@ def meetings(rows: DataFrame, nodes: DataFrame, share: float, cap: int, tag: str
             h, own, node, root, size, at = (g.column(k).to_numpy() for k in (0, 3, 4, 5, 6, 7))
             yield from (b.select(["a", "b", "n"]) for b in pairs(_meeting(h, node, root, size, at, share, None if i == j else int(np.searchsorted(own, j)))))
 
-    return [*out, cut(hot.mapInArrow(blocks, "a bigint, b bigint, n bigint"), f"{tag}-met-hot")]
+    for part in block_rounds(large, cap, most):
+        hot = blocked(large, "a", cap).where(part(F.xxhash64("h", "i", "j"))).select("h", "i", "j", "own", F.col("a").alias("node"), "root", "size", "at")
+        hot = hot.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j", "own", "size", "node")
+        out.append(cut(hot.mapInArrow(blocks, "a bigint, b bigint, n bigint"), f"{tag}-met-hot"))
+    return out
 
 
 def rounds(table: DataFrame, many: int, most: float) -> list[DataFrame]:
@@ -411,39 +436,68 @@ def verify(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return rows.select("b", "a", "x", "y").mapInArrow(each, "a bigint, b bigint")
 
 
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: float, many: int, tag: str, links: str) -> DataFrame:
+    """The pairs whose texts are similar enough, written; in rounds, each of which moves the texts of its own pairs only."""
+    spark = docs.sparkSession
+    texts = _texts(docs, nodes, pairs, tag)
+    out, parts = [], rounds(pairs, pairs.count(), ROUND_PAIRS * many)
+    for part in parts:
+        some = texts
+        if len(parts) > 1:
+            bits = sieve(_named(part).select(F.xxhash64("node").alias("key")), f"{tag}-sieve")
+            some = sifted(texts, F.xxhash64("node"), bits, "named").where("named").drop("named")
+        out.append(cut(verify(part, some, share), links))
+    release(spark, texts)
+    return united(out)
+
+
 def members(docs: DataFrame, share: float = 0.8, tables: int = 20, distance: int = 34, bucket: int = 512, nearest: int = 2, tag: str = "simhash") -> DataFrame:
     """row (a number), doc_id, digest and root (the number of a row of the class) of every row; written."""
+    with passing(docs.sparkSession) as keep:
+        return keep(_members(docs, share, tables, distance, bucket, nearest, tag))
+
+
+def _members(docs: DataFrame, share: float, tables: int, distance: int, bucket: int, nearest: int, tag: str) -> DataFrame:
     spark = docs.sparkSession
     rows = cut(describe(docs, tables, share).withColumn("row", F.monotonically_increasing_id()), f"{tag}-signatures")
     # equal texts: one node, its first row
-    same = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "doc_id", "size", "sig", "keys")).alias("r"))
-    nodes = cut(same.select("digest", F.col("r.row").alias("node"), F.col("r.doc_id").alias("id"), F.col("r.size").alias("size"), F.col("r.sig").alias("sig"), F.col("r.keys").alias("keys")), f"{tag}-nodes")
+    same = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "doc_id", "size", "sig", "keys")).alias("r"), (F.count(F.lit(1)) == 1).alias("alone"))
+    nodes = cut(same.select("digest", "alone", F.col("r.row").alias("node"), F.col("r.doc_id").alias("id"), F.col("r.size").alias("size"), F.col("r.sig").alias("sig"), F.col("r.keys").alias("keys")), f"{tag}-nodes")
     full = nodes.where("size > 0")
-    placed = cut(buckets(full, bucket, tag), f"{tag}-buckets")
-    cap = 4 * bucket
-    first = cut(candidates(placed, full.withColumn("root", F.col("node")), distance, share, cap, nearest), f"{tag}-nearest")
-    texts = _texts(docs, nodes, first, f"{tag}-texts-1")
     many = max(SMALL, full.count())
-    links = united([cut(verify(part, texts, share), f"{tag}-links-1") for part in rounds(first, first.count(), ROUND_PAIRS * many)])
-    release(spark, texts)
-    roots = cut(components(links, f"{tag}-components-1"), f"{tag}-roots-1")
-    now = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cap = 4 * bucket
+    with passing(spark) as keep:
+        placed = keep(cut(buckets(full, bucket, tag), f"{tag}-buckets"))
+    parts = block_rounds(placed, cap, ROUND_ROWS * many)
+    found = [cut(candidates(placed, full.withColumn("root", F.col("node")), distance, share, cap, nearest, part), f"{tag}-nearest") for part in parts]
     release(spark, placed)
-    met = united(meetings(rows, now, share, cap, tag))
+    first = found[0]
+    if len(found) > 1:
+        first = cut(united(found).distinct(), f"{tag}-nearest")
+        release(spark, *found)
+    closer = [cut(near(part, rows, share), f"{tag}-nearest-marks") for part in rounds(first, first.count(), ROUND_NEAR * many)]
+    release(spark, first)
+    first = united(closer)
+    links = verified(docs, nodes, first, share, many, f"{tag}-texts-1", f"{tag}-links-1")
+    with passing(spark) as keep:
+        roots = keep(cut(components(links, f"{tag}-components-1"), f"{tag}-roots-1"))
+    now = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    front = cut(rows.select(F.col("row").alias("node"), "prefix").join(now.select("node", "size", "root"), "node"), f"{tag}-front")
+    # the prefixes stay in one table only
+    slim = cut(rows.select("row", "doc_id", "digest", "size", "marks"), f"{tag}-rows")
+    release(spark, rows)
+    rows = slim
+    met = united(meetings(front, share, cap, ROUND_ROWS * many, tag))
+    release(spark, front)
     second = []
     for part in rounds(met, met.count(), ROUND_MET * many):
         pairs = part.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("k")).where("k >= n").select("a", "b")
         second.append(cut(near(pairs, rows, share).join(first, ["a", "b"], "left_anti"), f"{tag}-rest"))
-    release(spark, first)
     rest = united(second)
-    left = rest.count()
-    if left:
-        texts = _texts(docs, nodes, rest, f"{tag}-texts-2")
-        more = united([cut(verify(part, texts, share), f"{tag}-links-2") for part in rounds(rest, left, ROUND_PAIRS * many)])
-        release(spark, texts)
+    if not rest.isEmpty():
+        more = verified(docs, nodes, rest, share, many, f"{tag}-texts-2", f"{tag}-links-2")
         if not more.isEmpty():
             roots = cut(components(links.unionByName(more), f"{tag}-components-2"), f"{tag}-roots-2")
-    release(spark, *second)
     member = rows.where("digest is not null").select("row", "doc_id", "digest").join(nodes.select("digest", "node"), "digest").join(roots, "node", "left")
     every = member.select("row", "doc_id", "digest", F.coalesce("root", "node").alias("root")).unionByName(rows.where("digest is null").select("row", "doc_id", "digest", F.col("row").alias("root")))
     return cut(every, f"{tag}-members")
@@ -461,25 +515,46 @@ def classes(docs: DataFrame, **settings) -> DataFrame:
 def survivors(docs: DataFrame, **settings) -> DataFrame:
     """docs with one row of each class, the one with the smallest doc_id (null last), and all its columns."""
     every = members(docs, **settings)
-    own, id_, digest, again = free_names(docs.columns, "class_text", "class_doc", "class_digest", "class_again")
+    own, id_, digest, again, maybe = free_names(docs.columns, "class_text", "class_doc", "class_digest", "class_again", "class_maybe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "digest")).alias("w")
-    winners = every.groupBy("root").agg(first).select(F.col("w.doc_id").alias("doc_id"), F.col("w.digest").alias("digest")).distinct()
+    best = every.groupBy("root").agg(first).select(F.col("w.doc_id").alias("_i"), F.col("w.digest").alias("_d"), F.lit(True).alias("_w")).distinct()
+    texts = every.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("k"))
     # rows that repeat an id and its text count as one
-    repeated = every.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d"), F.lit(True).alias("_k"))
-    winners = winners.join(repeated, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("digest").eqNullSafe(F.col("_d")), "left")
-    winners = cut(winners.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), (F.col("_k").isNotNull() & F.col("digest").isNotNull()).alias(again)), "simhash-winners")
-    kept = docs.withColumn(own, text_digest()).join(winners, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(own).eqNullSafe(F.col(digest)))
-    out = kept.where(~F.col(again))
-    if not winners.where(again).isEmpty():
-        out = out.unionByName(kept.where(again).dropDuplicates([id_, digest]))
-    return out.drop(own, id_, digest, again)
+    texts = texts.withColumn("again", (F.col("k") > 1) & F.col("digest").isNotNull())
+    texts = texts.join(best, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("digest").eqNullSafe(F.col("_d")), "left").withColumn("kept", F.col("_w").isNotNull())
+    # only what goes or is repeated is looked up exactly, and what the sieve can't tell from it
+    looked = cut(texts.where("again or not kept").select("doc_id", "digest", "again", "kept", _key("doc_id", "digest").alias("key")), "simhash-looked-up")
+    release(docs.sparkSession, every)
+    bits = sieve(looked.select("key"), "simhash-looked-up-sieve")
+    rows = sifted(docs.withColumn(own, text_digest()), _key("doc_id", own), bits, maybe)
+    clear = rows.where(~F.col(maybe)).drop(own, maybe)
+    unclear = rows.where(F.col(maybe)).drop(maybe)
+    given = looked.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("again").alias(again), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(own).eqNullSafe(F.col(digest))
+    # what is not looked up is there once and stays
+    out = clear.unionByName(unclear.join(given.drop("kept", again), same, "left_anti").drop(own))
+    repeated = given.where(F.col("kept") & F.col(again)).select(id_, digest)
+    if not repeated.isEmpty():
+        out = out.unionByName(unclear.join(repeated, same).dropDuplicates([id_, digest]).drop(own, id_, digest))
+    return out
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
     """node, text of the nodes that the pairs name."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(named, "node").select("node", "id", "digest")
+    with passing(docs.sparkSession) as keep:
+        wanted = cut(nodes.join(_named(pairs), "node").select("node", "id", "digest", "alone"), f"{tag}-wanted")
+        bits = sieve(wanted.select(_key("id", "digest").alias("key")), f"{tag}-sieve")
+        found = docs.select("doc_id", "text", text_digest().alias("_d")).where("text is not null")
+        found = sifted(found, _key("doc_id", "_d"), bits, "_named").where("_named")
+        # an id may stand for several texts: the digest tells; only a text that others equal can be there twice with its id
+        found = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_d") == F.col("digest")))
+        once = found.where("alone").select("node", "text")
+        return keep(cut(once.unionByName(found.where("not alone").select("node", "text").dropDuplicates(["node"])), tag))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
 
-    # an id may stand for several texts: the digest tells
-    found = docs.select("doc_id", "text", text_digest().alias("_d")).where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_d") == F.col("digest"))).select("node", "text")
-    return cut(found.dropDuplicates(["node"]), tag)
+def _key(doc_id: str, digest: str):
+    return F.xxhash64(doc_id, digest)

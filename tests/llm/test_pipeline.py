@@ -1,12 +1,14 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
 from helpers import awkward, cut_windows, docs, near_classes, prose, words
 from tokenizers import Tokenizer
 
-from tessera.llm import simhash
+from tessera.llm import common, simhash
+from tessera.tables import shared_folder
 
 
 def corpus():
@@ -87,3 +89,47 @@ def test_near_dedup_moves_no_text_for_chance_runs(spark, tmp_path, monkeypatch):
     out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == set(near_classes(rows).values())
     assert sum(moved) <= 100  # more than a thousand pairs share a run
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    every = sc.statusStore().executorList(False)
+    return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+
+def test_near_dedup_leaves_texts_and_disk_alone(spark, tmp_path):
+    """Texts that stay aren't shuffled to find that they do, and the stage's own tables are gone when its rows are written."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    there = set(folder.iterdir()) if folder.exists() else set()
+    texts = [prose(300 + i, 3000, 10**6) for i in range(200)]
+    rows = [(i, t, "en", "a") for i, t in enumerate([*texts, texts[3], texts[5] + " end"])]
+    docs(spark, rows).write.parquet(str(tmp_path / "in"))
+    out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.read.parquet(str(tmp_path / "in")), str(tmp_path))
+    before = shuffled(spark)
+    out.write.parquet(str(tmp_path / "out"))
+    assert shuffled(spark) - before < 800_000  # of more than 4 million bytes of text
+    assert {r["doc_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == dict(enumerate(texts))
+    left = sum(f.stat().st_size for p in set(folder.iterdir()) - there for f in p.rglob("*.parquet"))
+    assert left < 100_000  # signatures, prefixes and members were more than a million
+
+
+def test_near_dedup_with_a_full_sieve(spark, tmp_path, monkeypatch):
+    """What the sieve can't tell from the rows that go is looked up exactly; nulls stay and repeated rows count as one."""
+    monkeypatch.setattr(common, "MOST_WORDS", 0)
+    texts = corpus()
+    rows = [*texts, texts[0], texts[0], texts[1], texts[1], (900, None, "en", "a"), (900, None, "en", "a"), (None, None, "en", "a"), (None, texts[3][1], "en", "a"), (None, "alone here", "en", "a"), (None, "alone here", "en", "a")]
+    out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs(spark, rows), str(tmp_path)).collect()
+    classes = near_classes(sorted((i, t) for i, t, _, _ in texts))
+    want = [(i, t) for i, t, _, _ in texts if classes[i] == i] + [(900, None)] * 2 + [(None, None), (None, "alone here")]
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(want)
+
+
+def test_run_keeps_one_stage_on_disk(spark, tmp_path):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    there = set(folder.iterdir()) if folder.exists() else set()
+    docs(spark, corpus()).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count()
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - there}
+    assert "stage-3-mixing" in left and not any(n.startswith(("stage-0", "stage-1", "stage-2", "simhash", "substrings")) for n in left)

@@ -324,6 +324,13 @@ def test_simhash_rounds(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in out.collect()} == near_classes(rows)
 
 
+def test_simhash_blocks_in_rounds(spark):
+    # 24 texts of 25 runs share the 6 of their prefixes, three of them are one class; one more run is in a single class
+    front = spark.createDataFrame([(i, 25, 0 if i < 3 else i, [*range(6), *([77] if i < 3 else [])]) for i in range(24)], "node long, size long, root long, prefix array<long>")
+    whole, parts = (simhash.united(simhash.meetings(front, 0.8, cap, 300, "test")).collect() for cap in (100, 2))
+    assert sorted(map(tuple, parts)) == sorted(map(tuple, whole)) and len({(r["a"], r["b"]) for r in whole}) == 24 * 23 // 2 - 3
+
+
 def test_simhash_marks():
     rng = random.Random(4)
     texts = [prose(k, rng.choice([0, 3, 30, 36, 70, 300, 3000]), 50).encode() for k in range(60)] + [None]
