@@ -39,6 +39,17 @@ class Facts:
         self.bindings += [dict(seq=seq, local=lo, imported=im, is_default=d) for lo, im, d in bindings]
         return seq
 
+    def size(self) -> int:
+        return len(self.symbols) + len(self.calls) + len(self.imports) + len(self.bindings) + len(self.exports) + len(self.reexports) + len(self.heritage)
+
+    def moved(self, line: int, seq: int) -> Facts:
+        """These facts with lines and seq counted on from what comes before in the file."""
+        if line or seq:
+            for rows, by in (((self.symbols, self.calls, self.imports, self.heritage), {"line": line, "end_line": line, "seq": seq}), ((self.bindings, self.reexports), {"seq": seq})):
+                for r in (r for some in rows for r in some):
+                    r |= {k: r[k] + n for k, n in by.items() if k in r}
+        return self
+
     def row(self, lang: str) -> dict:
         keys = ("path", "package", "module_shadowed", "symbols", "calls", "imports", "bindings", "exports", "reexports", "heritage")
         return {k: getattr(self, k) for k in keys} | {"lang": lang}

@@ -12,12 +12,15 @@ import subprocess
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import extract_go, extract_java, extract_js, extract_python, extract_rust
 from ..functions.facts import SCHEMA
 
 LANGUAGES = {"ts": "js", "tsx": "js", "js": "js", "jsx": "js", "py": "python", "rs": "rust", "go": "go", "java": "java"}
 EXTRACTORS = {"js": extract_js.extract, "python": extract_python.extract, "rust": extract_rust.extract, "go": extract_go.extract, "java": extract_java.extract}
+PIECE = 1 << 18  # characters
+AT_ONCE = 20_000  # facts in a batch, but for one file
 PRUNED = {".git", "node_modules", "target", "dist", "build", "vendor", ".tessera"}
 
 
@@ -70,8 +73,13 @@ def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     return rows.mapInArrow(read, "path string, lang string, sha string, content string")
 
 
-def facts_of(files: DataFrame) -> DataFrame:
-    """One row of facts per file (path, lang, content), by the extractor of its language."""
+def facts_of(files: DataFrame, spread: bool = False) -> DataFrame:
+    """One row of facts per file (path, lang, content), by the extractor of its language.
+
+    With spread the files are dealt out to tasks first, however few partitions they come in, and a Rust source of
+    more than PIECE characters is read in pieces, so that no task holds a large file's tokens: it has a row of facts
+    for each piece. Lines are those of the whole file, and `seq` is unique in it.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -79,10 +87,29 @@ def facts_of(files: DataFrame) -> DataFrame:
 
     def each(batches):
         for b in batches:
-            rows = [EXTRACTORS[lang](path, content).row(lang) for path, lang, content in zip(*(b.column(k).to_pylist() for k in range(3)))]
+            rows, held = [], 0
+            for path, lang, content, line, seq in zip(*(b.column(k).to_pylist() for k in range(5))):
+                facts = EXTRACTORS[lang](path, content)
+                rows.append(facts.moved(line, seq).row(lang))
+                held += facts.size()
+                if held > AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "lang", "content").mapInArrow(each, SCHEMA)
+    def cut(batches):
+        for b in batches:
+            for path, lang, content in zip(*(b.column(k).to_pylist() for k in range(3))):
+                for piece, line, start in extract_rust.pieces(content, PIECE):
+                    yield pa.RecordBatch.from_pydict({"path": [path], "lang": [lang], "content": [piece], "line": pa.array([line], pa.int32()), "seq": pa.array([start], pa.int32())})
+
+    files = files.select("path", "lang", "content")
+    whole = lambda rows: rows.select("*", F.lit(0).alias("line"), F.lit(0).alias("seq"))
+    if not spread:
+        return whole(files).mapInArrow(each, SCHEMA)
+    large = (F.col("lang") == "rust") & (F.length("content") > PIECE)
+    pieces = whole(files.where(~large)).unionByName(files.where(large).mapInArrow(cut, "path string, lang string, content string, line int, seq int"))
+    return pieces.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path", "line").mapInArrow(each, SCHEMA)
 
 
 def go_modules(spark: SparkSession, root: str) -> DataFrame:
