@@ -18,8 +18,8 @@ BUDGET = 500
 
 
 def impact(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node, depth of all that depends on the roots (column node), directly or not; roots themselves excluded."""
-    steps = written(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct(), "impact-steps")
+    """node, depth of all that depends on the roots (column node), directly or not; roots themselves excluded. Edges may repeat: what a level reaches is made distinct."""
+    steps = written(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")), "impact-steps")
     seen = frontier = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "impact-0")
     depth = 0
     while max_depth is None or depth < max_depth:

@@ -8,6 +8,7 @@ suppliers implement. Documents are symbols, with terms from their words.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -42,14 +43,36 @@ _TERMS_OF_NAME = _terms_sql("name")
 # --- the graph ---------------------------------------------------------------------------------------------
 
 
-def call_sites(spark: SparkSession, d: str) -> DataFrame:
-    """src, dst, line, column of every call."""
+def _calls(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
+    """(table of src, table of dst, src, dst, line, column of every call, by their keys)."""
     line = _t(spark, d, "lineitem")
     at = [F.col("l_orderkey").cast("int").alias("line"), F.col("l_linenumber").cast("int").alias("column")]
-    parts = line.select(_key("order", "l_orderkey").alias("src"), _key("part", "l_partkey").alias("dst"), *at)
-    suppliers = line.select(_key("part", "l_partkey").alias("src"), _key("supplier", "l_suppkey").alias("dst"), *at)
-    orders = _t(spark, d, "orders").select(_key("order", "o_orderkey").alias("src"), _key("customer", "o_custkey").alias("dst"), F.col("o_orderkey").cast("int").alias("line"), F.lit(0).alias("column"))
-    return parts.unionByName(suppliers).unionByName(orders)
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.col("o_orderkey").cast("int").alias("line"), F.lit(0).alias("column"))
+    return [
+        ("order", "part", line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), *at)),
+        ("part", "supplier", line.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), *at)),
+        ("order", "customer", orders),
+    ]
+
+
+def _named(a: str, b: str, rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"src": _key(a, "src"), "dst": _key(b, "dst")})
+
+
+def call_sites(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst, line, column of every call."""
+    return reduce(DataFrame.unionByName, (_named(*part) for part in _calls(spark, d)))
+
+
+def _by_keys(spark: SparkSession, d: str, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """grouped(call_sites), which groups by src and dst: the keys are grouped before they are named, as numbers move and sort cheaper.
+
+    Pairs of two tables never meet, except those with a null: these are named first.
+    """
+    known = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    parts = _calls(spark, d)
+    rows = reduce(DataFrame.unionByName, (_named(a, b, grouped(part.where(known))) for a, b, part in parts))
+    return rows.unionByName(grouped(reduce(DataFrame.unionByName, (_named(a, b, part.where(~known)) for a, b, part in parts))))
 
 
 def structural(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +84,13 @@ def structural(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(rows("supplier", "supplier", "s_suppkey", "nation", "s_nationkey", "IMPLEMENTS"))
 
 
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst of every edge, as often as it is called: for walks, which need neither sites nor grouping."""
+    return call_sites(spark, d).select("src", "dst").unionByName(structural(spark, d).select("src", "dst"))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.dependencies(call_sites(spark, d), structural(spark, d))
+    return graph.with_structural(_by_keys(spark, d, graph.first_sites), structural(spark, d))
 
 
 SITES = """sites as (
@@ -82,7 +110,7 @@ EDGES = f"""{SITES}, {FACTS}, edges as (
 
 
 def materialize_calls(spark, d):
-    out = graph.calls_with_sites(call_sites(spark, d))
+    out = _by_keys(spark, d, graph.calls_with_sites)
     return out.select("src", "dst", F.array_join(F.transform("sites", lambda s: F.concat_ws(":", s["line"], s["column"])), ",").alias("sites"), F.size("sites").cast("long").alias("n_sites"))
 
 
@@ -91,8 +119,7 @@ select src, dst, string_agg(line || ':' || col, ',' order by line, col) as sites
 
 
 def call_sites_min(spark, d):
-    called = call_sites(spark, d).groupBy("src", "dst").agg(F.min(F.struct("line", "column")).alias("at"))
-    return called.select("src", "dst", "at.line", "at.column")
+    return _by_keys(spark, d, graph.first_sites)
 
 
 CALL_SITES_MIN = f"""with {SITES} select src, dst, (min(line * 100 + col) // 100)::int as line, (min(line * 100 + col) % 100)::int as "column" from sites group by src, dst"""
@@ -108,7 +135,7 @@ DEPENDENCIES_UNION = f"with {EDGES} select kind, count(*) as n, count(distinct s
 def impact_depth(spark, d):
     """All that depends on region 0, by depth, without a budget."""
     root = spark.createDataFrame([("region::0",)], "node string")
-    return traverse.impact(edges(spark, d), root).select("node", "depth")
+    return traverse.impact(links(spark, d), root).select("node", "depth")
 
 
 IMPACT_DEPTH = f"""with recursive {EDGES}, reach as (
@@ -121,7 +148,7 @@ IMPACT_DEPTH = f"""with recursive {EDGES}, reach as (
 def impact_by_depth(spark, d):
     """Number of nodes of each table at each depth from region 1."""
     root = spark.createDataFrame([("region::1",)], "node string")
-    rows = traverse.impact(edges(spark, d), root)
+    rows = traverse.impact(links(spark, d), root)
     return rows.groupBy("depth", F.substring_index("node", "::", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,7 +201,7 @@ select (select o from begin) as start, (select s from ends) as finish, min(depth
 def importer_closure(spark, d):
     """Everything that reaches nation 3 or nation 7, and the two."""
     roots = spark.createDataFrame([("nation::3",), ("nation::7",)], "node string")
-    return traverse.closure(edges(spark, d), roots)
+    return traverse.closure(links(spark, d), roots)
 
 
 IMPORTER_CLOSURE = f"""with recursive {EDGES}, reach as (
@@ -184,9 +211,19 @@ IMPORTER_CLOSURE = f"""with recursive {EDGES}, reach as (
 
 def _pool(spark, d):
     """64 nodes: those with most dependents among their kind, the kinds taking turns; ties by name."""
-    many = edges(spark, d).groupBy(F.col("dst").alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
+    # edges are counted without their sites
+    called = _by_keys(spark, d, lambda sites: sites.select("src", "dst").distinct()).select("dst")
+    dst = called.unionByName(structural(spark, d).distinct().select("dst"))
+    many = dst.groupBy(F.col("dst").alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy(F.substring_index("canonical", "::", 1)).orderBy(F.desc("n"), "canonical"))
-    return written(retrieve.top_pool(many.withColumn("turn", 1 / rank), "turn").select(F.col("canonical").alias("node")), "pool")
+    # none of a kind after its first 64 can be in the pool, so no task sorts a whole kind
+    ranked = many.withColumn("rank", rank).where(F.col("rank") <= retrieve.POOL)
+    return written(retrieve.top_pool(ranked.withColumn("turn", 1 / F.col("rank")), "turn").select(F.col("canonical").alias("node")), "pool")
+
+
+def _inside(spark: SparkSession, d: str, pool: DataFrame) -> DataFrame:
+    """The edges with both ends in the pool: only their sites are grouped, not all."""
+    return graph.dependencies(graph.pool_edges(call_sites(spark, d), pool), graph.pool_edges(structural(spark, d), pool))
 
 
 POOL = """pool as (
@@ -195,7 +232,7 @@ POOL = """pool as (
 
 
 def semi_pool_edges(spark, d):
-    return graph.pool_edges(edges(spark, d), _pool(spark, d)).select("src", "dst", "kind")
+    return _inside(spark, d, _pool(spark, d)).select("src", "dst", "kind")
 
 
 SEMI_POOL_EDGES = f"with {EDGES}, {POOL} select src, dst, kind from edges where src in (select node from pool) and dst in (select node from pool)"
@@ -203,7 +240,7 @@ SEMI_POOL_EDGES = f"with {EDGES}, {POOL} select src, dst, kind from edges where
 
 def components_pool(spark, d):
     pool = _pool(spark, d)
-    return traverse.pool_components(graph.pool_edges(edges(spark, d), pool), pool)
+    return traverse.pool_components(_inside(spark, d, pool), pool)
 
 
 COMPONENTS_POOL = f"""with recursive {EDGES}, {POOL}, inside as (select src, dst from edges where src in (select node from pool) and dst in (select node from pool)),
@@ -214,7 +251,7 @@ select node, min(low) as component from reach group by node"""
 
 def two_hop_sums(spark, d):
     pool = _pool(spark, d).withColumn("s", F.length("node") / 16.0)
-    out = traverse.two_hop_sums(graph.pool_edges(edges(spark, d), pool), pool.select("node", "s"))
+    out = traverse.two_hop_sums(_inside(spark, d, pool.select("node")), pool.select("node", "s"))
     return out.select("node", F.round("direct", 6).alias("direct"), F.round("two_hop", 6).alias("two_hop"))
 
 
@@ -229,7 +266,7 @@ select s.node, round(coalesce(direct.v, 0), 6)::double as direct, round(coalesce
 def anti_visited(spark, d):
     """Suppliers that no part of region 0's customers' orders needs: frontier minus what was seen."""
     root = spark.createDataFrame([("region::0",)], "node string")
-    near = traverse.impact(edges(spark, d), root, max_depth=2)
+    near = traverse.impact(links(spark, d), root, max_depth=2)
     every = _t(spark, d, "supplier").select(_key("supplier", "s_suppkey").alias("node"))
     return every.join(near.select("node"), "node", "left_anti")
 
@@ -634,8 +671,9 @@ union all select * from (values ('job/p/run.py', '.steps', 0, 'job/p/steps.py'),
 
 def structural_rerank(spark, d):
     """Corroboration of a pool's members by the edges inside it; a node's score is the length of its name."""
-    pool = {r["node"]: float(len(r["node"])) for r in _pool(spark, d).collect()}
-    inside = graph.pool_edges(edges(spark, d), _pool(spark, d)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).collect()
+    nodes = _pool(spark, d)
+    pool = {r["node"]: float(len(r["node"])) for r in nodes.collect()}
+    inside = _inside(spark, d, nodes).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).collect()
     bonus = retrieve.structural_bonus(pool, [(r["src"], r["dst"], r["n"]) for r in inside])
     return spark.createDataFrame([(k, float(v)) for k, v in bonus.items()], "node string, structural double").withColumn("structural", F.round("structural", 6))
 
