@@ -48,6 +48,16 @@ def quality(value: Column, term: str, variants: list[str]) -> Column:
     return F.when(value == term, 1.0).when(prefix(term), 0.82).when(other, 0.62).otherwise(0.0)
 
 
+def matching(posted: DataFrame, query: Query) -> DataFrame:
+    """The postings whose term matches a term of the query, which are all that it looks at: for a query over texts without stored postings."""
+    if not query.terms:
+        return posted
+    hit = F.lit(False)
+    for t, v in query.terms:
+        hit = hit | (quality(F.col("term"), t, v) > 0)
+    return posted.where(hit)
+
+
 def _of_field(table: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col("field"))
 

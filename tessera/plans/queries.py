@@ -373,7 +373,8 @@ def _facts(spark, d) -> DataFrame:
 
 
 def _posted(spark, d) -> DataFrame:
-    return written(retrieve.postings(_facts(spark, d)), "postings")
+    """The postings of QUERY's terms; those of all others aren't written."""
+    return written(retrieve.matching(retrieve.postings(_facts(spark, d)), parse_query(QUERY)), "postings")
 
 
 DOCS = f"""s as (
